@@ -132,6 +132,13 @@ def contamination(docs: DataFrame, items: DataFrame, text: str = "text", doc_id:
     )
 
 
+def keep_uncontaminated(docs: DataFrame, items: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+    """The rows of docs, with all their columns, that hold no window of any item."""
+    bad = contamination(docs, items, text, doc_id).filter("contaminated").select(F.col("doc_id").alias("_d"), F.col("th").alias("_th")).distinct()
+    bad = written(bad, "bench-bad")
+    return docs.join(bad, (F.col("_th") == F.xxhash64(F.col(text))) & F.col("_d").eqNullSafe(F.col(doc_id)), "left_anti")
+
+
 def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("th")
 
