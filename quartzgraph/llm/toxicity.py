@@ -147,16 +147,32 @@ def _dense(scored: list[tuple[float, int]], n: int) -> list[float]:
     return [1.0, math.log(mean + 0.005), math.log(high + 0.002), *top, math.log(n + 10) / 5]
 
 
-def _regress(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2) -> np.ndarray:
+def _regress(x: np.ndarray, y: np.ndarray, ridge: float = 0.5) -> np.ndarray:
+    """Weights by Newton steps, halved until the penalised loss falls; columns but the first are scaled for the penalty."""
+    mean, scale = x.mean(0), x.std(0) + 1e-9
+    mean[0], scale[0] = 0.0, 1.0
+    z = (x - mean) / scale
+    pen = np.full(x.shape[1], ridge)
+    pen[0] = 1e-6
+
+    def loss(w: np.ndarray) -> float:
+        m = z @ w
+        return float(np.logaddexp(0, m).sum() - (y * m).sum() + 0.5 * (pen * w * w).sum())
+
     w = np.zeros(x.shape[1])
-    for _ in range(50):
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        h = (x * (p * (1 - p))[:, None]).T @ x + ridge * np.eye(len(w))
-        step = np.linalg.solve(h, x.T @ (y - p) - ridge * w)
-        w += np.clip(step, -5, 5)
-        if np.abs(step).max() < 1e-6:
+    for _ in range(100):
+        p = 1 / (1 + np.exp(-np.clip(z @ w, -30, 30)))
+        h = (z * (p * (1 - p))[:, None]).T @ z + np.diag(pen)
+        step = np.linalg.solve(h, z.T @ (y - p) - pen * w)
+        size = 1.0
+        while size > 1e-6 and loss(w + size * step) > loss(w):
+            size /= 2
+        w += size * step
+        if np.abs(size * step).max() < 1e-6:
             break
-    return w
+    out = w / scale
+    out[0] = w[0] - (w[1:] * mean[1:] / scale[1:]).sum()
+    return out
 
 
 def fit(texts: list[str], toxic: list[int]) -> dict:
