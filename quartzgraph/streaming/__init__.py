@@ -1,0 +1 @@
+"""No operator of this library is a streaming one; the batch frames work inside foreachBatch."""
