@@ -15,7 +15,7 @@ threshold, and splits skewed shuffles otherwise. Documents are keyed by doc_id a
 so repeated rows are worked on once and each of them gets its result.
 
 Defined cases: null text has no words and isn't contaminated; null or wordless items have no
-windows; equal windows of several items count for each; item_ids are told apart as strings; extra
+windows; equal windows of several items count for each; item_ids are told apart as strings, null as the empty one; extra
 columns are ignored. doc_id may be null.
 """
 
@@ -62,7 +62,7 @@ def benchmark_windows(items: DataFrame, text: str = "text", item_id: str = "item
         n = F.size(w)
         return F.when(n <= WINDOW, F.array(w)).otherwise(F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), n - WINDOW + 1)), lambda i: F.slice(w, i, WINDOW)))
 
-    each = items.select(F.col(item_id).cast("string").alias("item_id"), F.explode(bound(words(F.col(text)), cut)).alias("words")).filter(F.size("words") > 0)
+    each = items.select(F.coalesce(F.col(item_id).cast("string"), F.lit("")).alias("item_id"), F.explode(bound(words(F.col(text)), cut)).alias("words")).filter(F.size("words") > 0)
     owners = each.select(F.array_join("words", " ").alias("wid"), "item_id").distinct()
     return each.select(F.array_join("words", " ").alias("wid"), "words").dropDuplicates(["wid"]), owners
 
@@ -134,9 +134,9 @@ def contamination(docs: DataFrame, items: DataFrame, text: str = "text", doc_id:
 
 def keep_uncontaminated(docs: DataFrame, items: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """The rows of docs, with all their columns, that hold no window of any item."""
-    bad = contamination(docs, items, text, doc_id).filter("contaminated").select(F.col("doc_id").alias("_d"), F.col("th").alias("_th")).distinct()
+    bad = contamination(docs, items, text, doc_id).filter("contaminated").select(F.col("doc_id").alias("__q_d"), F.col("th").alias("__q_th")).distinct()
     bad = written(bad, "bench-bad")
-    return docs.join(bad, (F.col("_th") == F.xxhash64(F.col(text))) & F.col("_d").eqNullSafe(F.col(doc_id)), "left_anti")
+    return docs.join(bad, (F.col("__q_th") == F.xxhash64(F.col(text))) & F.col("__q_d").eqNullSafe(F.col(doc_id)), "left_anti")
 
 
 def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -109,12 +109,12 @@ def mix(docs: DataFrame, entropy_share: float | None = None, max_repeats: float
     """docs as the budgets have it: each row as often as blocks hold it. Texts aren't shuffled: a row's blocks follow from its hash and its source's cut."""
     plan = weights(docs, source, text, entropy_share, max_repeats, whole)
     cut = placed(docs, plan, source, text, doc_id).groupBy("k", "block").agg(F.max("h").alias("cut"))
-    cut = written(cut.groupBy("k").agg(F.max(F.struct("block", "cut")).alias("last")).select("k", F.col("last.block").alias("_last"), F.col("last.cut").alias("_cut")), "mix-cuts")
-    last = _order(F.col("_last"), _ident(F.col(doc_id))) <= F.col("_cut")
+    cut = written(cut.groupBy("k").agg(F.max(F.struct("block", "cut")).alias("last")).select("k", F.col("last.block").alias("__q_last"), F.col("last.cut").alias("__q_cut")), "mix-cuts")
+    last = _order(F.col("__q_last"), _ident(F.col(doc_id))) <= F.col("__q_cut")
     # sources without any token have no cut, and go along once
-    out = docs.withColumn("_k", _key(F.col(source))).join(cut.withColumnRenamed("k", "_k"), "_k", "left")
-    times = F.when(F.col("_last").isNull(), 1).otherwise(F.col("_last") + last.cast("long"))
-    return out.withColumn("_copy", F.explode(F.array_repeat(F.lit(0), times.cast("int")))).select(*[F.col(f"`{c}`") for c in docs.columns])
+    out = docs.withColumn("__q_k", _key(F.col(source))).join(cut.withColumnRenamed("k", "__q_k"), "__q_k", "left")
+    times = F.when(F.col("__q_last").isNull(), 1).otherwise(F.col("__q_last") + last.cast("long"))
+    return out.withColumn("__q_copy", F.explode(F.array_repeat(F.lit(0), times.cast("int")))).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def op3_temperature_mix(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -244,8 +244,8 @@ def keep_one(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", least:
     """One row, with all its columns, of each group: that with the least doc_id. Of a group in which no row has a doc_id, one row for each text stays."""
     found = near_duplicates(docs, text, doc_id, least)
     stay = found.filter(F.col("kept") | F.col("component_id").isNull())
-    key = lambda i, th: [F.coalesce(i.cast("long"), F.lit(0)).alias("_id"), i.isNull().alias("_none"), th.alias("_th")]
-    keys = ["_id", "_none", "_th"]
+    key = lambda i, th: [F.coalesce(i.cast("long"), F.lit(0)).alias("__q_id"), i.isNull().alias("__q_none"), th.alias("__q_th")]
+    keys = ["__q_id", "__q_none", "__q_th"]
     all_rows = docs.select(*[F.col(f"`{c}`") for c in docs.columns], *key(F.col(doc_id), F.xxhash64(F.col(text))))
     return all_rows.join(stay.select(*key(F.col("doc_id"), F.col("th"))), keys, "left_semi").dropDuplicates(keys).select(*[F.col(f"`{c}`") for c in docs.columns])
 
