@@ -5,8 +5,10 @@ own, so that two sets with similarity s share a first prefix of LEAST_DEPTH hash
 In an order, a row's candidates are its neighbours of longest common prefix (at least LEAST_DEPTH
 deep) and the heads of its regions at two depths. Where a region is dense, the neighbours agree
 to a greater depth: the depth adapts without a bucket that has to be capped. Candidates are linear in
-the rows. Links are confirmed on the full sets in two rounds: first each text's likeliest partner, then
-every candidate pair that still lies in two components. Equal sets are merged beforehand.
+the rows. Links are confirmed on the full sets in two rounds. First each text's likeliest partner. Then every region
+that still holds several components, taken as deep as it needs to have at most REGION rows: there each text outside the region's
+largest component is compared with all others, so that a text with a single link in a dense region keeps it. Only
+texts that agree in all DEPTH hashes and are more than REGION would be split further, by a hash. Equal sets are merged beforehand.
 
 Defined cases: null or wordless text has no shingles and is its own component; repeated rows are
 copies; a null doc_id gets the component of its text and kept = false; extra columns are ignored.
@@ -35,6 +37,8 @@ _MUL = _rng.integers(0, 1 << 62, K, dtype=np.uint64) * _U(2) + _U(1)
 ORDERS = (np.arange(TREES)[:, None] * LEAST_DEPTH + np.arange(DEPTH)[None, :]) % K
 #: Members of a hub that one streak of rows compares.
 STREAK = 128
+#: Rows of a region that are compared in one task.
+REGION = 1024
 
 
 def _signed(parts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -201,6 +205,81 @@ def confirmed(pairs: DataFrame, texts: DataFrame, least: int) -> DataFrame:
     return rows.repartition(n, "hub", "streak").sortWithinPartitions("hub", "streak", "member", "fp").mapInArrow(_confirm(least), "a binary, b binary")
 
 
+def _across(least: int):
+    """Rows (tree, region, root, fp, z) sorted by region -> links (a, b) between components of a region, exact for its rows."""
+
+    def links(roots: list[bytes], fps: list[bytes], sets: list[np.ndarray]) -> list[tuple[bytes, bytes]]:
+        names, of = np.unique(np.array(roots, dtype=object), return_inverse=True)
+        of, out = of.copy(), []
+        if len(names) < 2:
+            return out
+        flat = np.unique(np.concatenate(sets), return_inverse=True)[1]
+        size = np.array([len(s) for s in sets])
+        at = np.concatenate([[0], np.cumsum(size)[:-1]])
+        mark = np.zeros(int(flat.max()) + 1, bool)
+        for i in np.flatnonzero(of != np.bincount(of).argmax()):
+            own = flat[at[i] : at[i] + size[i]]
+            mark[own] = True
+            both = np.add.reduceat(mark[flat], at, dtype=np.int64)
+            mark[own] = False
+            near = np.flatnonzero((100 * both >= least * (size[i] + size - both)) & (of != of[i]))
+            for j in near:
+                if of[j] != of[i]:
+                    out.append((fps[i], fps[j]))
+                    of[of == of[j]] = of[i]
+        return out
+
+    def across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        z = zstandard.ZstdDecompressor()
+        now, roots, fps, sets = None, [], [], []
+        for batch in batches:
+            found = []
+            for i in range(0, batch.num_rows, 512):
+                part = batch.slice(i, 512)
+                texts = pa.array([z.decompress(t).decode() for t in part.column("z").to_pylist()], pa.large_string())
+                for region, root, fp, own in zip(zip(part.column("tree").to_pylist(), part.column("region").to_pylist(), strict=True), part.column("root").to_pylist(), part.column("fp").to_pylist(), shingle_sets(texts), strict=True):
+                    if region != now:
+                        if sets:
+                            found += links(roots, fps, sets)
+                        now, roots, fps, sets = region, [], [], []
+                    roots.append(root)
+                    fps.append(fp)
+                    sets.append(own)
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in found], pa.binary()), pa.array([b for _, b in found], pa.binary())], names=["a", "b"])
+        if sets and (found := links(roots, fps, sets)):
+            yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in found], pa.binary()), pa.array([b for _, b in found], pa.binary())], names=["a", "b"])
+
+    return across
+
+
+def links_across(reps: DataFrame, texts: DataFrame, roots: DataFrame, least: int) -> DataFrame:
+    """Links (a, b) between components (node, root) that share a region; reps: those with candidates."""
+    rows = reps.select("fp", "sig").mapInArrow(_orders, "tree int, key binary, fp binary")
+    rows = written(rows.join(roots.select(F.col("node").alias("fp"), "root"), "fp", "left").select("tree", "key", "fp", F.coalesce("root", "fp").alias("root")), "near-orders")
+    taken = []
+    for depth in range(LEAST_DEPTH, DEPTH + 1):
+        region = F.substring("key", 1, 2 * depth)
+        rows = rows.withColumn("region", region)
+        sizes = rows.groupBy("tree", "region").agg(F.count("*").alias("n"), F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("tree", "region", "n")
+        last = depth == DEPTH
+        fit = rows.join(sizes.filter(F.lit(last) | (F.col("n") <= REGION)), ["tree", "region"])
+        split = F.when(F.col("n") > REGION, F.pmod(F.xxhash64("fp"), F.ceil(F.col("n") / REGION))).otherwise(0)
+        taken.append(fit.select("tree", F.concat_ws(":", F.hex("region"), split.cast("string")).alias("region"), "root", "fp"))
+        if last:
+            break
+        more = written(rows.join(sizes.filter(F.col("n") > REGION).drop("n"), ["tree", "region"], "left_semi").drop("region"), "near-deeper")
+        if not more.limit(1).count():
+            break
+        rows = more
+    wanted = taken[0]
+    for t in taken[1:]:
+        wanted = wanted.union(t)
+    n = max(1, int(reps.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    rows = wanted.join(texts, "fp").repartition(n, "tree", "region").sortWithinPartitions("tree", "region", "fp")
+    return rows.select("tree", "region", "root", "fp", "z").mapInArrow(_across(least), "a binary, b binary")
+
+
 def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", least: int = 80) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept, th) of every row of docs; th: xxhash64 of the text."""
     rows = written(signed(docs, text, doc_id), "near-signed")
@@ -223,12 +302,7 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     first = written(best.select(F.least("v", "w").alias("a"), F.greatest("v", "w").alias("b")).distinct(), "near-first")
     links = written(confirmed(first, texts, least), "near-links")
     roots = components(links)
-    of = lambda c: roots.select(F.col("node").alias(c), F.col("root").alias(f"root_{c}"))
-    apart = (
-        pairs.select("a", "b").join(first, ["a", "b"], "left_anti").join(of("a"), "a", "left").join(of("b"), "b", "left")
-        .filter(F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).select("a", "b")
-    )
-    more = written(confirmed(written(apart, "near-apart"), texts, least), "near-more")
+    more = written(links_across(reps.join(ends, "fp", "left_semi"), texts, roots, least), "near-more")
     if more.limit(1).count():
         roots = components(links.union(more))
     low = reps.select("fp", "low").join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "low", F.coalesce("root", "fp").alias("root"))
