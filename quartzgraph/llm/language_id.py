@@ -1,7 +1,7 @@
 """Language of words in code-switched text, by a linear-chain conditional random field.
 
-Words are runs of letters. Features of a word: itself (the lexicon), its affixes and its trigrams (in UTF-8), hashed into 2**BITS rows of weights; transitions are learned with them. Training sequences are made
-by joining runs of words from texts of different languages, so that switches are seen. The gradient is that of the
+Words are runs of letters. Features of a word: itself (the lexicon), its affixes and its trigrams (in UTF-8), hashed
+into 2**BITS rows of weights; transitions are learned with them. Training sequences are made by joining runs of words from texts of different languages, so that switches are seen. The gradient is that of the
 conditional likelihood (forward-backward expectations); inference labels each word by forward-backward in stretches of STRETCH words,
 each run with OVERLAP words of context on either side, by which the chain has forgotten where it began. A text's
 language has the largest sum of word posteriors; score is the mean posterior of that language.
@@ -207,8 +207,11 @@ def _label(sent, chars: int = 1 << 20):
 
 
 def train(docs: DataFrame, text: str = "text", lang: str = "lang", doc_id: str = "doc_id", rows: int = TRAIN_ROWS) -> dict:
-    d = docs.select(F.col(doc_id).alias("i"), F.col(text).alias("t"), F.col(lang).alias("l")).filter(~held_out(F.col("i")) & F.col("t").isNotNull() & F.col("l").isNotNull())
-    got = d.orderBy(F.xxhash64("i"), F.xxhash64("t"), "l").limit(rows).select("t", "l").toPandas()
+    d = docs.select(F.col(doc_id).cast("string").alias("i"), F.col(text).cast("string").alias("t"), F.col(lang).cast("string").alias("l")).filter(~held_out(F.col("i")) & F.col("t").isNotNull() & F.col("l").isNotNull())
+    d = d.withColumns({"i": F.coalesce("i", F.lit("")), "th": F.xxhash64("t")})
+    # keys are chosen first, so that tasks send no texts but those of the sample; it has a proven size and can be broadcast
+    keys = d.select("i", "th").orderBy(F.xxhash64("i"), "i", "th").limit(rows).distinct()
+    got = d.join(F.broadcast(keys), ["i", "th"]).dropDuplicates(["i", "th"]).select("i", "th", "t", "l").toPandas().sort_values(["i", "th", "l"])
     return fit(got["t"].tolist(), got["l"].tolist())
 
 
