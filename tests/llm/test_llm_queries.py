@@ -129,8 +129,10 @@ def brute_near(texts):
     return [len(s) for s in sets], [find(i) for i in range(len(sets))]
 
 
-def test_dense_near_copies(spark):
-    """Chains and stars around one text: every link counts, the weakest too."""
+@pytest.mark.parametrize("region", [near_dedup.REGION, 8])
+def test_dense_near_copies(spark, monkeypatch, region):
+    """Chains and stars around one text: every link counts, the weakest too, also where regions are cut into blocks."""
+    monkeypatch.setattr(near_dedup, "REGION", region)
     rng = np.random.default_rng(3)
     base = [f"w{i}" for i in rng.integers(0, 10**6, 120)]
     texts = []
@@ -147,6 +149,23 @@ def test_dense_near_copies(spark):
     assert [r["kept"] for r in got] == [i == x for i, x in enumerate(root)]
 
 
+def test_blocks_meet(spark, monkeypatch):
+    """In a large region each row outside the main component shares a part with every row, once a part."""
+    monkeypatch.setattr(near_dedup, "REGION", 8)
+    rows = [(0, b"k", b"m" if i >= 11 else bytes([i]), i.to_bytes(2, "big"), 50, b"m", 11) for i in range(50)]
+    df = spark.createDataFrame(rows, "tree int, region binary, root binary, fp binary, n long, main binary, lone long")
+    met, ask = near_dedup._blocks(df)
+    got = [(r["region"], bytes(r["fp"])) for r in met.union(ask).collect()]
+    assert len(got) == len(set(got))
+    parts = {}
+    for part, fp in got:
+        parts.setdefault(part, set()).add(fp)
+    fps = {r[3] for r in rows}
+    for i in range(11):
+        own = rows[i][3]
+        assert set().union(*(p for p in parts.values() if own in p)) == fps
+
+
 def auc(score, y):
     rank = np.argsort(np.argsort(score)) + 1.0
     return (rank[y].sum() - y.sum() * (y.sum() + 1) / 2) / (y.sum() * (~y).sum())
