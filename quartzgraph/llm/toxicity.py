@@ -6,8 +6,8 @@ collapse, and Viterbi finds the likeliest letters under a character trigram mode
 restored words are then looked up in a lexicon of words and beginnings that are much more frequent in toxic texts, and a
 logistic regression scores the text by how much of it the lexicon finds.
 
-Both models are fitted on the driver: on at most TRAIN_TOXIC and TRAIN_CLEAN labelled rows, those with the least hashes of
-doc_id that aren't held out. All texts are scored whole.
+The character model counts the trigrams of all documents. Lexicon and regression are fitted on the driver, on at most TRAIN_TOXIC
+and TRAIN_CLEAN labelled rows, those with the least hashes of doc_id that aren't held out. All texts are scored whole.
 
 Defined cases: null and empty texts get the score of a text without words; without training rows of both
 classes every score is 0; repeated rows get equal results; doc_id may be null (it counts as ''); extra
@@ -20,6 +20,7 @@ import math
 import re
 from collections import Counter
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -29,6 +30,10 @@ from pyspark.sql import functions as F
 from .common import held_out, table
 
 TRAIN_TOXIC, TRAIN_CLEAN = 1500, 2500
+#: The character model's table has 2**CHAR_BITS slots, whatever the size of the corpus.
+CHAR_BITS = 20
+SPREAD, ANY = 0x9E3779B97F4A7C15, 0x1FFFFF
+_U = np.uint64
 #: Words of more characters aren't decoded: nobody reads them as a disguised word.
 DECODED = 24
 # What a sign or digit may stand for.
@@ -39,34 +44,108 @@ STANDS_FOR = {
 EDGE = re.compile(r"^[^\w@$€£|(<!¡*#+]+|[^\w@$€£]+$")
 EDGES = re.compile(r"^([^\w])\1+|([^\w])\2+$")
 ODD = re.compile(r"[^\w]|[\d_]|(.)\1\1")
+BLANK = re.compile(r"\s")
 LETTER = re.compile(r"[^\W\d_]")
 SPELLED = re.compile(r"(?<![\w@$!|*])(?:[\w@$!|*](?:[ \t]|[._\-*])){3,}[\w@$!|*](?![\w@$!|*])")
 
 
+def _slot(a: int, b: int, c: int) -> int:
+    """Slot of the characters a, b, c; 0 stands for a context that isn't looked at."""
+    return ((((a << 21 | b) << 21 | c) * SPREAD) & ((1 << 64) - 1)) >> (64 - CHAR_BITS)
+
+
+def _slots(a, b, c) -> np.ndarray:
+    """The same for arrays of 64-bit code points."""
+    return (((_U(a) << _U(42)) | (_U(b) << _U(21)) | _U(c)) * _U(SPREAD)) >> _U(64 - CHAR_BITS)
+
+
 class CharModel:
-    """Character trigrams of words, mixed with shorter contexts."""
-
-    def __init__(self, words) -> None:
-        self.c3, self.c2, self.c1, self.n2, self.n1 = Counter(), Counter(), Counter(), Counter(), Counter()
-        for w in words:
-            s = f"^^{w}$"
-            for i in range(2, len(s)):
-                self.c3[s[i - 2 : i + 1]] += 1
-                self.n2[s[i - 2 : i]] += 1
-                self.c2[s[i - 1 : i + 1]] += 1
-                self.n1[s[i - 1]] += 1
-                self.c1[s[i]] += 1
-        self.total = sum(self.c1.values())
+    """Character trigrams of words, mixed with shorter contexts, from the counts that char_counts gathers."""
+
+    def __init__(self, counts: np.ndarray) -> None:
+        self.n = counts
         self.kept: dict[str, float] = {}
 
     def cost(self, context: str, c: str) -> float:
         key = context + c
         if (x := self.kept.get(key)) is None:
-            p = 0.02 / 64 + 0.08 * self.c1[c] / max(1, self.total) + 0.2 * self.c2[context[-1] + c] / max(1, self.n1[context[-1]]) + 0.7 * self.c3[key] / max(1, self.n2[context])
+            a, b, z = map(ord, key)
+            n = lambda *k: int(self.n[_slot(*k)])
+            p = 0.02 / 64 + 0.08 * n(0, 0, z) / max(1, n(0, 0, ANY)) + 0.2 * n(0, b, z) / max(1, n(0, b, ANY)) + 0.7 * n(a, b, z) / max(1, n(a, b, ANY))
             x = self.kept[key] = -math.log(p)
         return x
 
 
+@cache
+def _kinds() -> tuple[np.ndarray, np.ndarray]:
+    """Which code points are letters, and which are blank."""
+    return tuple(np.fromiter((f(chr(i)) for i in range(0x110000)), bool, 0x110000) for f in (str.isalpha, str.isspace))
+
+
+def _add_trigrams(text: str, into: np.ndarray) -> None:
+    """Adds the trigrams, bigrams and characters of the words of a text, and their contexts, to the slots."""
+    cp = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), np.uint32)
+    letter, blank = _kinds()
+    ink = np.zeros(len(cp) + 2, np.int8)
+    ink[1:-1] = ~blank[cp]
+    edges = np.flatnonzero(np.diff(ink))
+    starts, ends = edges[::2], edges[1::2]
+    letters = np.concatenate([[0], np.cumsum(letter[cp])])
+    ok = (ends - starts <= DECODED) & (letters[ends] - letters[starts] == ends - starts)
+    starts, size = starts[ok], (ends - starts)[ok]
+    if not len(starts):
+        return
+    # each word as ^^word$
+    at = np.cumsum(size + 3) - (size + 3)
+    seq = np.full(int((size + 3).sum()), ord("^"), np.uint64)
+    inside = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)
+    seq[np.repeat(at + 2, size) + inside] = cp[np.repeat(starts, size) + inside]
+    seq[at + size + 2] = ord("$")
+    live = np.ones(len(seq), bool)
+    live[at] = live[at + 1] = False
+    i = np.flatnonzero(live)
+    a, b, c = seq[i - 2], seq[i - 1], seq[i]
+    seen = [_slots(a, b, c), _slots(a, b, ANY), _slots(0, b, c), _slots(0, b, ANY), _slots(0, 0, c)]
+    into += np.bincount(np.concatenate(seen).astype(np.int64), minlength=len(into))
+    into[_slot(0, 0, ANY)] += len(i)
+
+
+def _pieces(batches: Iterator[pa.RecordBatch], chars: int = 1 << 20) -> Iterator[str]:
+    """The texts in runs of about so many characters; a longer text is cut at blanks."""
+    part, size = [], 0
+    for batch in batches:
+        for t in batch.column(0):
+            t, at = t.as_py() or "", 0
+            while len(t) - at > chars:
+                m = BLANK.search(t, at + chars)
+                end = m.start() if m else len(t)
+                yield t[at:end]
+                at = end
+            part.append(t[at:])
+            size += len(part[-1]) + 1
+            if size > chars:
+                yield "\n".join(part)
+                part, size = [], 0
+    if part:
+        yield "\n".join(part)
+
+
+def _count_chars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    counts = np.zeros(1 << CHAR_BITS, np.int64)
+    for text in _pieces(batches):
+        _add_trigrams(text, counts)
+    at = np.flatnonzero(counts)
+    yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(counts[at], pa.int64())], names=["slot", "n"])
+
+
+def char_counts(docs: DataFrame, text: str = "text") -> np.ndarray:
+    """Counts of the trigrams of all words of all texts, without labels, in 2**CHAR_BITS slots: the corpus is counted whole, and what reaches the driver has a proven size."""
+    got = docs.select(F.col(text).cast("string").alias("t")).mapInArrow(_count_chars, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).toPandas()
+    counts = np.zeros(1 << CHAR_BITS, np.int64)
+    counts[got["slot"].to_numpy(np.int64)] = got["n"].to_numpy(np.int64)
+    return counts
+
+
 def decode(token: str, model: CharModel, beam: int = 48) -> str:
     """The likeliest letters behind a token, lower-cased."""
     states: dict[str, tuple[float, str]] = {"^^": (0.0, "")}
@@ -175,10 +254,9 @@ def _regress(x: np.ndarray, y: np.ndarray, ridge: float = 0.5) -> np.ndarray:
     return out
 
 
-def fit(texts: list[str], toxic: list[int]) -> dict:
-    """The character model, the lexicon, and the regression on what it finds; for the latter each half of the texts is seen by the other half's lexicon."""
+def fit(texts: list[str], toxic: list[int], chars: CharModel) -> dict:
+    """With the character model, the lexicon and the regression on what it finds; for the latter each half of the texts is seen by the other half's lexicon."""
     raw = [tokens(t) for t in texts]
-    chars = CharModel(w.lower() for s in raw for w in s if w.isalpha() and len(w) <= DECODED)
     known: dict[str, str] = {}
     docs = []
     for s in raw:
@@ -253,7 +331,7 @@ def train(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str =
     got = d.join(F.broadcast(picked), "i").groupBy("i").agg(F.min("t").alias("t"), F.max("y").alias("y")).orderBy("i").toPandas()
     if got["y"].nunique() < 2:
         return {"chars": None}
-    return fit(got["t"].tolist(), got["y"].tolist())
+    return fit(got["t"].tolist(), got["y"].tolist(), CharModel(char_counts(docs, text)))
 
 
 def score_toxicity(docs: DataFrame, model: dict, text: str = "text", doc_id: str = "doc_id") -> DataFrame:

@@ -207,6 +207,19 @@ def test_gradient_expectations():
     assert np.allclose(post[0], p1 / total) and np.allclose(pair, p2 / total)
 
 
+def test_char_counts_cover_all_texts(spark):
+    texts = ["Ab ab, cde", None, "", "x1 ÄÖ\u2003abc " + "q" * 30, "word " * 300_000 + "z", "u" * 1_100_000 + "v w"]
+    counts = toxicity.char_counts(spark.createDataFrame([(t,) for t in texts], "text string").repartition(3))
+    want = np.zeros_like(counts)
+    for w in (w.lower() for t in texts for w in (t or "").split()):
+        if w.isalpha() and len(w) <= toxicity.DECODED:
+            s = [*map(ord, f"^^{w}$")]
+            for a, b, c in zip(s, s[1:], s[2:], strict=False):
+                for k in ((a, b, c), (a, b, toxicity.ANY), (0, b, c), (0, b, toxicity.ANY), (0, 0, c), (0, 0, toxicity.ANY)):
+                    want[toxicity._slot(*k)] += 1
+    assert (counts == want).all() and counts[toxicity._slot(*map(ord, "wor"))] == 300_000
+
+
 def test_toxicity_held_out(spark):
     docs, labels = common.table(spark, "/root/testdata/sf0.1", "documents"), common.table(spark, "/root/testdata/sf0.1", "labels")
     model = toxicity.train(docs, labels)
