@@ -7,10 +7,10 @@ deep) and the heads of its regions at two depths. Where a region is dense, the n
 to a greater depth: the depth adapts without a bucket that has to be capped. Candidates are linear in
 the rows. Links are confirmed on the full sets in two rounds. First each text's likeliest partner. Then every region
 that still holds several components: there each text outside the region's largest component is compared with all others, so
-that a text with a single link in a dense region keeps it. A region of more than REGION rows is compared in blocks if at
-most LONE are outside the largest component, else it is taken deeper; what agrees in all DEPTH hashes is
-compared in blocks however large it is. A pair of similarity s shares a prefix of d hashes in some order with probability
-1 - (1 - s**d)**TREES: at 0.8, all but 3e-7 of the pairs for 3 hashes, 0.979 for 8. Equal sets are merged beforehand.
+that a text with a single link in a dense region keeps it. A region of more than REGION rows is compared in blocks, however
+many of its rows are outside the largest component: rows compared grow with the product of both. A pair of similarity s shares
+a prefix of d hashes in some order with probability 1 - (1 - s**d)**TREES: at 0.8, all but 3e-7 of the pairs for the 3
+hashes of a region. Equal sets are merged beforehand.
 
 Defined cases: null or wordless text has no shingles and is its own component; repeated rows are
 copies; a null doc_id gets the component of its text and kept = false; extra columns are ignored.
@@ -41,8 +41,6 @@ ORDERS = (np.arange(TREES)[:, None] * LEAST_DEPTH + np.arange(DEPTH)[None, :]) %
 STREAK = 128
 #: Rows of a region, or of a part of a large one, that are compared at a time.
 REGION = 1024
-#: A large region with more rows outside its main component goes deeper before its rows are compared in blocks.
-LONE = 2048
 
 
 def _signed(parts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -272,25 +270,16 @@ def links_across(reps: DataFrame, texts: DataFrame, roots: DataFrame, least: int
     """Links (a, b) between components (node, root) that share a region; reps: those with candidates."""
     rows = reps.select("fp", "sig").mapInArrow(_orders, "tree int, key binary, fp binary")
     rows = written(rows.join(roots.select(F.col("node").alias("fp"), "root"), "fp", "left").select("tree", "key", "fp", F.coalesce("root", "fp").alias("root")), "near-orders")
-    taken = []
-    for depth in range(LEAST_DEPTH, DEPTH + 1):
-        rows = rows.withColumn("region", F.substring("key", 1, 2 * depth))
-        sizes = rows.groupBy("tree", "region").agg(F.count("*").alias("n"), F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("tree", "region", "n")
-        fit = rows.join(sizes.filter(F.col("n") <= REGION), ["tree", "region"], "left_semi")
-        taken.append(fit.select("tree", F.hex("region").alias("region"), "root", "fp"))
-        more = written(rows.join(sizes.filter(F.col("n") > REGION), ["tree", "region"], "left_semi"), "near-deeper")
-        if not more.limit(1).count():
-            break
+    rows = rows.withColumn("region", F.substring("key", 1, 2 * LEAST_DEPTH))
+    sizes = rows.groupBy("tree", "region").agg(F.count("*").alias("n"), F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("tree", "region", "n")
+    fit = rows.join(sizes.filter(F.col("n") <= REGION), ["tree", "region"], "left_semi")
+    wanted = fit.select("tree", F.hex("region").alias("region"), "root", "fp")
+    more = written(rows.join(sizes.filter(F.col("n") > REGION), ["tree", "region"], "left_semi"), "near-large-rows")
+    if more.limit(1).count():
         large = more.groupBy("tree", "region", "root").agg(F.count("*").alias("n")).groupBy("tree", "region").agg(F.sum("n").alias("n"), F.max(F.struct("n", "root")).alias("top"))
         large = written(large.select("tree", "region", "n", F.col("top.root").alias("main"), (F.col("n") - F.col("top.n")).alias("lone")), "near-large")
-        now = F.lit(depth == DEPTH) | (F.col("lone") <= LONE)
-        taken += _blocks(more.join(large.filter(now), ["tree", "region"]))
-        if depth == DEPTH:
-            break
-        rows = more.join(large.filter(~now), ["tree", "region"], "left_semi").drop("region")
-    wanted = taken[0]
-    for t in taken[1:]:
-        wanted = wanted.union(t)
+        for part in _blocks(more.join(large, ["tree", "region"])):
+            wanted = wanted.union(part)
     n = max(1, int(reps.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     rows = wanted.join(texts, "fp").repartition(n, "tree", "region").sortWithinPartitions("tree", "region", "fp")
     return rows.select("tree", "region", "root", "fp", "z").mapInArrow(_across(least), "a binary, b binary")

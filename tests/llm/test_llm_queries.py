@@ -4,6 +4,7 @@ import hashlib
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from quartzgraph.llm import common, near_dedup, queries, secrets, toxicity, training_order, url_filter
@@ -166,6 +167,30 @@ def test_blocks_meet(spark, monkeypatch):
         assert set().union(*(p for p in parts.values() if own in p)) == fps
 
 
+def test_single_links_among_like_texts(spark, monkeypatch):
+    """Pairs just over the bound that agree in 3 hashes of some order but nowhere in 8, among texts that share most shingles: no number of lone rows loses one."""
+    monkeypatch.setattr(near_dedup, "REGION", 4)
+    monkeypatch.setattr(near_dedup, "LONE", 4, raising=False)  # the bound that there was
+    rng = np.random.default_rng(4)
+    words = lambda n: [f"w{i}" for i in rng.integers(0, 10**9, n)]
+    base = words(83)
+    texts, pairs = [" ".join(base + words(20)) for _ in range(200)], []
+    while len(pairs) < 10:
+        mine = words(20)
+        pair = [" ".join(base + mine), " ".join(base + mine[:9] + words(11))]
+        _, sig = near_dedup._signed(list(common.shingle_sets(pa.array(pair, pa.large_string()))))
+        same = sig[0] == sig[1]
+        if same[near_dedup.ORDERS[:, :3]].all(1).any() and not same[near_dedup.ORDERS].all(1).any():
+            pairs.append((len(texts), len(texts) + 1))
+            texts += pair
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    reps = near_dedup.signed(df)
+    of = {bytes(r["fp"]): r["doc_id"] for r in reps.collect()}
+    packed = reps.join(df, "doc_id").select("fp", "text").mapInArrow(near_dedup._pack, "fp binary, z binary")
+    links = near_dedup.links_across(reps, packed, spark.createDataFrame([], "node binary, root binary"), 80).collect()
+    assert {tuple(sorted((of[bytes(r["a"])], of[bytes(r["b"])]))) for r in links} == set(pairs)
+
+
 def auc(score, y):
     rank = np.argsort(np.argsort(score)) + 1.0
     return (rank[y].sum() - y.sum() * (y.sum() + 1) / 2) / (y.sum() * (~y).sum())
