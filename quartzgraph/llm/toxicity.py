@@ -1,9 +1,9 @@
 """Toxicity of texts whose words may be disguised, by a noisy channel.
 
 A word that holds signs or digits among its letters, a letter three times or more in a row, or that is spelled
-out with gaps, is decoded: each sign stands for some letters or for nothing, repeated letters may
-collapse, and Viterbi finds the likeliest letters under a character trigram model and these channel costs. The
-restored words are then looked up in a lexicon of words and beginnings that are much more frequent in toxic texts, and a
+out with gaps, is decoded, however long it is: each sign stands for some letters or for nothing, repeated letters may
+collapse, and Viterbi finds the likeliest letters under a character trigram model and these channel costs. In what is spelled
+out with gaps, a gap may end a word, so that several words come apart; it is also read as one word. The restored words are then looked up in a lexicon of words and beginnings that are much more frequent in toxic texts, and a
 logistic regression scores the text by how much of it the lexicon finds.
 
 The character model counts the trigrams of all documents. Lexicon and regression are fitted on the driver, on at most TRAIN_TOXIC
@@ -34,7 +34,7 @@ TRAIN_TOXIC, TRAIN_CLEAN = 1500, 2500
 CHAR_BITS = 20
 SPREAD, ANY = 0x9E3779B97F4A7C15, 0x1FFFFF
 _U = np.uint64
-#: Words of more characters aren't decoded: nobody reads them as a disguised word.
+#: Words of more letters aren't counted in the character model.
 DECODED = 24
 # What a sign or digit may stand for.
 STANDS_FOR = {
@@ -47,6 +47,8 @@ ODD = re.compile(r"[^\w]|[\d_]|(.)\1\1")
 BLANK = re.compile(r"\s")
 LETTER = re.compile(r"[^\W\d_]")
 SPELLED = re.compile(r"(?<![\w@$!|*])(?:[\w@$!|*](?:[ \t]|[._\-*])){3,}[\w@$!|*](?![\w@$!|*])")
+STRETCHED = re.compile(r"([^\W\d_])\1{2,}")
+FILLING = re.compile(r"([^\w])\1{3,}")
 
 
 def _slot(a: int, b: int, c: int) -> int:
@@ -147,52 +149,80 @@ def char_counts(docs: DataFrame, text: str = "text") -> np.ndarray:
 
 
 def decode(token: str, model: CharModel, beam: int = 48) -> str:
-    """The likeliest letters behind a token, lower-cased."""
-    states: dict[str, tuple[float, str]] = {"^^": (0.0, "")}
-    for c in token.lower():
-        after: dict[str, tuple[float, str]] = {}
-
-        def put(context: str, cost: float, word: str, after: dict = after) -> None:
+    """The likeliest letters behind a token, lower-cased; at a blank a word may end, and the words have a blank between them."""
+    # a letter three times or more is one or two of it; more than three of a sign say no more than three
+    token = FILLING.sub(r"\1\1\1", STRETCHED.sub(r"\1\1", token.lower()))
+    # context -> cost and a chain (before, character) of what was read
+    states: dict[str, tuple[float, tuple | None]] = {"^^": (0.0, None)}
+    for c in token:
+        after: dict[str, tuple[float, tuple | None]] = {}
+
+        def put(context: str, cost: float, word: tuple | None, after: dict = after) -> None:
             if context not in after or cost < after[context][0]:
                 after[context] = (cost, word)
 
         stands = STANDS_FOR.get(c, "")
         for context, (cost, word) in states.items():
-            if c.isalpha():
-                put(context[1] + c, cost + 0.05 + model.cost(context, c), word + c)
+            if c == " ":
+                put(context, cost, word)
+                if context != "^^":
+                    put("^^", cost + model.cost(context, "$"), (word, " "))
+            elif c.isalpha():
+                put(context[1] + c, cost + 0.05 + model.cost(context, c), (word, c))
                 if context[1] == c:
                     put(context, cost + 1.0, word)
             else:
                 for x in stands:
-                    put(context[1] + x, cost + 0.7 + 0.4 * (len(stands) - 1) + model.cost(context, x), word + x)
+                    put(context[1] + x, cost + 0.7 + 0.4 * (len(stands) - 1) + model.cost(context, x), (word, x))
                     if context[1] == x:
                         put(context, cost + 1.5, word)
                 put(context, cost + (8.0 if c.isdigit() else 5.0 if stands else 1.0), word)
         states = dict(sorted(after.items(), key=lambda kv: kv[1][0])[:beam])
-    return min((cost + model.cost(context, "$"), word) for context, (cost, word) in states.items())[1]
+
+    def read(word: tuple | None) -> str:
+        out = []
+        while word:
+            word, c = word
+            out.append(c)
+        return "".join(reversed(out))
+
+    last = [(cost + model.cost(context, "$"), word) for context, (cost, word) in states.items()]
+    least = min(cost for cost, _ in last)
+    return min(read(word) for cost, word in last if cost == least)
 
 
 def restore(token: str, model: CharModel) -> str:
     """The word behind a token, lower-cased and without punctuation around it."""
     if token.isalpha():
         core = token.lower()
-        return core if not (m := ODD.search(core)) or len(core) > DECODED or not m else decode(core, model)
+        return decode(core, model) if ODD.search(core) else core
     core = EDGE.sub("", EDGES.sub("", token)).lower()
-    if len(core) <= DECODED and ODD.search(core) and LETTER.search(core):
+    if ODD.search(core) and LETTER.search(core):
         return decode(core, model)
     return core
 
 
+def restored(token: str, model: CharModel) -> list[str]:
+    """The words behind a key of tokens(): several for what is spelled out, which holds blanks."""
+    if " " not in token:
+        return [w] if (w := restore(token, model)) else []
+    if not LETTER.search(token):
+        return []
+    # read as one word it is a key of its own
+    return words if len(words := decode(token, model).split()) > 1 else []
+
+
 def _features(word: str) -> list[str]:
     """The word and its beginnings."""
     return [word, *(f"{k}{word[:k]}" for k in (4, 5, 6, 7) if len(word) >= k)]
 
 
 def tokens(text: str) -> Counter:
-    """Counts of tokens; what is spelled out with gaps counts as one more token."""
+    """Counts of tokens; what is spelled out with gaps counts as one more token, and again with a blank at each gap, for its words."""
     out = Counter(text.split())
     for m in SPELLED.finditer(text):
         out[re.sub(r"[ \t._\-]", "", m[0])] += 1
+        out[" ".join(m[0][::2])] += 1
     return out
 
 
@@ -257,14 +287,14 @@ def _regress(x: np.ndarray, y: np.ndarray, ridge: float = 0.5) -> np.ndarray:
 def fit(texts: list[str], toxic: list[int], chars: CharModel) -> dict:
     """With the character model, the lexicon and the regression on what it finds; for the latter each half of the texts is seen by the other half's lexicon."""
     raw = [tokens(t) for t in texts]
-    known: dict[str, str] = {}
+    known: dict[str, list[str]] = {}
     docs = []
     for s in raw:
         d: Counter = Counter()
         for t, n in s.items():
-            if (w := known.get(t)) is None:
-                w = known[t] = restore(t, chars)
-            if w:
+            if (words := known.get(t)) is None:
+                words = known[t] = restored(t, chars)
+            for w in words:
                 d[w] += n
         docs.append(d)
     y = np.array(toxic, np.int64)
@@ -284,10 +314,12 @@ class Scorer:
 
     def __init__(self, model: dict) -> None:
         self.m = model
-        self.of: dict[str, float] = {}
+        self.of: dict[str, tuple[int, list[float]]] = {}
 
-    def _token(self, t: str) -> float:
-        u = _word(restore(t, self.m["chars"]), self.m["lexicon"])
+    def _token(self, t: str) -> tuple[int, list[float]]:
+        """How many words there are, and what the lexicon finds among them."""
+        words = restored(t, self.m["chars"])
+        u = max(len(words), " " not in t), [x for w in words if (x := _word(w, self.m["lexicon"]))]
         if len(t) <= 2 * DECODED:
             self.of[t] = u
         return u
@@ -298,11 +330,11 @@ class Scorer:
         get, new = self.of.get, self._token
         found, n = [], 0
         for t, c in tokens(text or "").items():
-            n += c
             if (u := get(t)) is None:
                 u = new(t)
-            if u:
-                found.append((u, c))
+            n += c * u[0]
+            for x in u[1]:
+                found.append((x, c))
         if len(self.of) > self.KEEP:
             self.of.clear()
         z = sum(a * b for a, b in zip(_dense(found, n), self.m["weights"], strict=True))

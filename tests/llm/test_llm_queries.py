@@ -257,6 +257,21 @@ def test_toxicity_held_out(spark):
     assert by.text(clean) < 0.5 < by.text(clean + " 1d10t") and by.text(clean + " i d i o t") > by.text(clean)
 
 
+def test_long_disguises():
+    """Stretched, filled and spelled-out words are read whatever their length."""
+    plain = "you are an idiot and that is what it is you idiot the moron is here and you know that you are here " * 50
+    counts = np.zeros(1 << toxicity.CHAR_BITS, np.int64)
+    toxicity._add_trigrams(plain, counts)
+    chars = toxicity.CharModel(counts)
+    for t in ("i" * 24 + "diot", "i.....d.....i.....o.....t", "i" * 5000 + "d1" + "o" * 5000 + "t", "1" + "." * 30 + "diot"):
+        assert toxicity.restore(t, chars) == "idiot"
+    model = {"chars": chars, "lexicon": {"idiot": 5.0}, "weights": [-1.0, 0.0, 0.0, 1.0, 0.0, 0.0, 0.0]}
+    by = toxicity.Scorer(model)
+    clean = "that is what it is"
+    for t in ("y o u i d i o t", "y.o.u.i.d.i.o.t", "i d i o t", "y o u a r e a n i d 1 o t", "i" * 24 + "diot", "i.....d.....i.....o.....t"):
+        assert by.text(f"{clean} {t}") > 0.5 > by.text(clean), t
+
+
 def test_shards(spark, tmp_path):
     for n in (1, 2, 5, 64, 1000):
         assert sorted(training_order.feistel(np.arange(n), n).tolist()) == list(range(n))
