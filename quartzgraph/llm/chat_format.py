@@ -9,7 +9,7 @@ participants, a small distinct table, in a join on the conversation that Spark m
 
 Defined cases: null text is empty; a null role is the speaker `unknown`; a null conv_id is one conversation; a null turn comes first, in
 block 0; repeated rows count once; turns that share a number are in the order of role and text; a block with more than 4 * BLOCK rows
-(ties) is cut into parts by a hash of the text; a conversation of system turns only has no participant and gives no row; extra
+(ties) is cut in that order into parts of 4 * BLOCK consecutive rows; a conversation of system turns only has no participant and gives no row; extra
 columns are ignored.
 """
 
@@ -18,6 +18,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..plans.ordinal import numbered
 from .common import table
 
 BLOCK = 64
@@ -33,7 +34,12 @@ def rotate(turns: DataFrame, conv_id: str = "conv_id", turn: str = "turn", role:
     t = t.withColumn("block", F.coalesce(F.floor(F.col("turn") / block), F.lit(0)).cast("long"))
     sizes = t.groupBy("conv_id", "block").agg(F.count("*").alias("size")).filter(F.col("size") > 4 * block).select(F.col("conv_id").alias("cc"), F.col("block").alias("bb"), "size")
     t = t.join(sizes, F.col("conv_id").eqNullSafe(F.col("cc")) & (F.col("block") == F.col("bb")), "left")
-    t = t.withColumn("part", F.when(F.col("size").isNull(), 0).otherwise(F.pmod(F.xxhash64("text", "turn"), F.ceil(F.col("size") / (4 * block)))).cast("long"))
+    cols = ["conv_id", "turn", "role", "text", "block"]
+    large = numbered(t.filter(F.col("size").isNotNull()).select(*cols), ["conv_id", "block", "turn", "role", "text"], "chat-large", "place")
+    first = large.groupBy("conv_id", "block").agg(F.min("place").alias("first")).select(F.col("conv_id").alias("cc"), F.col("block").alias("bb"), "first")
+    large = large.join(first, F.col("conv_id").eqNullSafe(F.col("cc")) & (F.col("block") == F.col("bb")))
+    large = large.select(*cols, F.floor((F.col("place") - F.col("first")) / (4 * block)).cast("long").alias("part"))
+    t = t.filter(F.col("size").isNull()).select(*cols, F.lit(0).cast("long").alias("part")).union(large)
     t = t.join(who, F.col("conv_id").eqNullSafe(F.col("c")))
     head = F.when(F.col("role") == SYSTEM, "<|system|>\n").when(F.col("role") == F.col("speaker"), "<|assistant|>\n").otherwise(F.concat(F.lit("<|user name="), F.col("role"), F.lit("|>\n")))
     t = t.select("conv_id", "speaker", "block", "part", F.struct("turn", "role", "text", head.alias("head"), (F.col("role") == F.col("speaker")).alias("on")).alias("x"))

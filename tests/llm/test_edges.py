@@ -91,6 +91,23 @@ def test_chats(spark):
     assert chat_format.rotate(df.limit(0)).count() == 0
 
 
+def test_parts_of_tied_turns_are_consecutive(spark, duck, tmp_path):
+    """The parts of a block with many tied turns, put together, are the block as the SQL renders it."""
+    rows = [(c, None if i % 3 else i % 40, ("ann", "bob", "system", None)[i % 4], f"t{i}") for c in (None, 1) for i in range(900)] + [(2, i, "ann", f"u{i}") for i in range(100)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    df.coalesce(1).write.parquet(str(tmp_path / "out"))
+    next((tmp_path / "out").glob("*.parquet")).rename(tmp_path / "conversations.parquet")
+    whole = {(c, s, b): (n, t, k) for c, s, b, _, n, t, _, k in duck(tmp_path).sql(chat_format.SQL_OP4).fetchall()}
+    got = {}
+    for r in sorted(chat_format.rotate(df).collect(), key=lambda r: r["part"]):
+        got.setdefault((r["conv_id"], r["speaker"], r["block"]), []).append(r)
+    assert {k: (sum(r["n_turns"] for r in v), "".join(r["text"] for r in v), sum(r["loss_chars"] for r in v)) for k, v in got.items()} == whole
+    assert [r["n_turns"] for r in got[(None, "ann", 0)]] == [256, 256, 256, 132]
+    for r in got[(1, "bob", 0)]:
+        said = [r["text"][int(a) : int(b)] for a, b in (x.split(":") for x in r["mask"].split(",") if x)]
+        assert sum(map(len, said)) == r["loss_chars"] and all(x.endswith(chat_format.END) and "<|" not in x[: -len(chat_format.END)] for x in said)
+
+
 def test_mixing(spark):
     docs = frame(spark)
     out = mixing.mix(docs)
