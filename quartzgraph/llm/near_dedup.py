@@ -1,16 +1,18 @@
 """MinHash near-duplicates by an LSH forest, confirmed on full shingle sets.
 
-A signature of 16-bit minimum hashes is sorted in TREES orders; each order starts with hashes of its
-own, so that two sets with similarity s share a first prefix of LEAST_DEPTH hashes with s**LEAST_DEPTH.
-In an order, a row's candidates are its neighbours of longest common prefix (at least LEAST_DEPTH
-deep) and the heads of its regions at two depths. Where a region is dense, the neighbours agree
-to a greater depth: the depth adapts without a bucket that has to be capped. Candidates are linear in
-the rows. Links are confirmed on the full sets in two rounds. First each text's likeliest partner. Then every region
-that still holds several components: there each text outside the region's largest component is compared with all others, so
-that a text with a single link in a dense region keeps it. A region of more than REGION rows is compared in blocks, however
-many of its rows are outside the largest component: rows compared grow with the product of both. A pair of similarity s shares
-a prefix of d hashes in some order with probability 1 - (1 - s**d)**TREES: at 0.8, all but 3e-7 of the pairs for the 3
-hashes of a region. Equal sets are merged beforehand.
+A signature of 16-bit minimum hashes is sorted in TREES orders; each order starts with hashes of its own, so that two sets
+with similarity s share a first prefix of LEAST_DEPTH hashes, a region, with s**LEAST_DEPTH. In an order, a row's candidates are its
+neighbours of longest common prefix (at least LEAST_DEPTH deep) and the heads of its regions at two depths. Where a region is dense, the
+neighbours agree to a greater depth: the depth adapts without a bucket that has to be capped. The orders are cut by range; what
+stands at a cut is paired across it, so the cuts lose no neighbour. Candidates are linear in the rows.
+
+Links are confirmed on the full sets: first each text's likeliest partner; then, ROUNDS times, in regions that still hold several
+components, each row's nearest rows of another component. What regions still hold several components then are joined
+exactly: a row that shares a region, and LIKE hashes, with a row of another component puts the shingles of its set in the order of
+their rarity; sets that are similar enough share a shingle within their first ones, at places that leave room for the overlap needed. Such
+pairs of different components are confirmed too. Shingles that occur in one component only come first and never pair, so near copies
+around one text meet only where their own changes are alike. A pair of similarity s shares a region with probability
+1 - (1 - s**3)**TREES: at 0.8, all but 3e-7 of the pairs, and all but 5e-8 have LIKE hashes alike. Equal sets are merged beforehand.
 
 Defined cases: null or wordless text has no shingles and is its own component; repeated rows are
 copies; a null doc_id gets the component of its text and kept = false; extra columns are ignored.
@@ -19,17 +21,18 @@ copies; a null doc_id gets the component of its text and kept = false; extra col
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import mix, remove, shingle_sets, table, written
 from .components import components
 
-TREES, LEAST_DEPTH, DEPTH, REACH = 21, 3, 8, 3
+TREES, LEAST_DEPTH, DEPTH, REACH = 21, 3, 8, 1
 K = TREES * LEAST_DEPTH
 _U = np.uint64
 _rng = np.random.default_rng(5)
@@ -39,8 +42,12 @@ _MUL = _rng.integers(0, 1 << 62, K, dtype=np.uint64) * _U(2) + _U(1)
 ORDERS = (np.arange(TREES)[:, None] * LEAST_DEPTH + np.arange(DEPTH)[None, :]) % K
 #: Members of a hub that one streak of rows compares.
 STREAK = 128
-#: Rows of a region, or of a part of a large one, that are compared at a time.
-REGION = 1024
+#: Rounds of nearest rows of other components.
+ROUNDS = 2
+#: Equal hashes of two signatures below which no pair is looked for: at similarity 0.8, 5e-8 of the pairs have fewer.
+LIKE = 32
+#: Signatures are compared only in regions of at most so many rows; rows of larger ones all go on to the exact join.
+REGION = 2048
 
 
 def _signed(parts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -103,24 +110,39 @@ def _orders(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(np.tile(np.arange(TREES, dtype=np.int32), m)), fixed(keys), fixed(fps)], names=["tree", "key", "fp"])
 
 
+def _fixed(rows: list[bytes]) -> pa.Array:
+    return pa.array(rows, pa.binary())
+
+
+def _prefixes(batch: pa.RecordBatch) -> np.ndarray:
+    """Tree and hashes of sorted rows, one row each."""
+    key = np.frombuffer(b"".join(batch.column("key").to_pylist()), ">u2").reshape(batch.num_rows, DEPTH)
+    return np.concatenate([batch.column("tree").to_numpy()[:, None].astype(np.int64), key.astype(np.int64)], 1)
+
+
+MET = "a binary, b binary, tree int, key binary"
+
+
 def _near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by tree and key -> candidate pairs (a, b): the REACH rows before, and the heads of the regions LEAST_DEPTH and twice as deep."""
-    keep = REACH
+    """Rows sorted by tree and key -> candidate pairs (a, b): the REACH rows before, and the heads of the regions LEAST_DEPTH and twice as
+    deep. Rows without b are those that stand at the ends: the first and last REACH rows and the heads of the last regions."""
     tail = None
     heads = [None, None]
+    first: list[tuple[bytes, int, bytes]] = []
     for batch in batches:
         m = batch.num_rows
         if not m:
             continue
-        tree = batch.column("tree").to_numpy()
-        key = np.frombuffer(b"".join(batch.column("key").to_pylist()), ">u2").reshape(m, DEPTH)
-        full = np.concatenate([tree[:, None].astype(np.int64), key.astype(np.int64)], 1)
+        full = _prefixes(batch)
         fp = np.array(batch.column("fp").to_pylist(), dtype=object)
+        if len(first) < REACH:
+            some = batch.slice(0, REACH - len(first))
+            first += zip(some.column("fp").to_pylist(), some.column("tree").to_pylist(), some.column("key").to_pylist(), strict=True)
         if tail is not None:
             full, fp = np.concatenate([tail[0], full]), np.concatenate([tail[1], fp])
         new = len(fp) - m
         left, right = [], []
-        for d in range(1, keep + 1):
+        for d in range(1, REACH + 1):
             if len(fp) > d:
                 same = (full[d:, : LEAST_DEPTH + 1] == full[:-d, : LEAST_DEPTH + 1]).all(1)
                 same[: max(0, new - d)] = False
@@ -131,28 +153,45 @@ def _near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             begins = np.ones(len(fp), bool)
             begins[1:] = (full[1:, : depth + 1] != full[:-1, : depth + 1]).any(1)
             head = np.maximum.accumulate(np.where(begins, np.arange(len(fp)), 0))
-            heads_fp = fp[head]
-            if heads[h] is not None and (heads[h][0] == full[0, : depth + 1]).all():
-                heads_fp = np.where(head == 0, np.array([heads[h][1]], dtype=object), heads_fp)
-            i = np.flatnonzero(np.arange(len(fp)) - head > keep) if heads[h] is None else np.flatnonzero((np.arange(len(fp)) - head > keep) | (head == 0))
+            goes_on = heads[h] is not None and (heads[h][0][: depth + 1] == full[0, : depth + 1]).all()
+            heads_fp = np.where(head == 0, np.array([heads[h][1]], dtype=object), fp[head]) if goes_on else fp[head]
+            i = np.flatnonzero((np.arange(len(fp)) - head > REACH) | ((head == 0) & goes_on))
             i = i[i >= new]
             left.append(heads_fp[i])
             right.append(fp[i])
-            heads[h] = (full[-1, : depth + 1].copy(), heads_fp[-1])
-        tail = full[-keep:], fp[-keep:]
+            if not (goes_on and head[-1] == 0):
+                heads[h] = (full[head[-1]].copy(), fp[head[-1]])
+        tail = full[-REACH:], fp[-REACH:]
         a, b = np.concatenate(left), np.concatenate(right)
-        if len(a):
-            low = a < b
-            ok = a != b
-            yield pa.RecordBatch.from_arrays([pa.array(np.where(low, a, b)[ok].tolist(), pa.binary()), pa.array(np.where(low, b, a)[ok].tolist(), pa.binary())], names=["a", "b"])
+        ok = a != b
+        a, b = a[ok].tolist(), b[ok].tolist()
+        if a:
+            low, high = zip(*((x, y) if x < y else (y, x) for x, y in zip(a, b, strict=True)), strict=True)
+            yield pa.RecordBatch.from_arrays([_fixed(low), _fixed(high), pa.nulls(len(a), pa.int32()), pa.nulls(len(a), pa.binary())], names=["a", "b", "tree", "key"])
+    if tail is not None:
+        ends = {*first, *((f, int(k[0]), k[1:].astype(">u2").tobytes()) for k, f in [*zip(*tail, strict=True), *heads])}
+        f, t, k = zip(*ends, strict=True)
+        yield pa.RecordBatch.from_arrays([_fixed(f), pa.nulls(len(f), pa.binary()), pa.array(t, pa.int32()), _fixed(k)], names=["a", "b", "tree", "key"])
+
+
+def _partitions(df: DataFrame) -> int:
+    return max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+
+def orders(reps: DataFrame) -> DataFrame:
+    return reps.select("fp", "sig").mapInArrow(_orders, "tree int, key binary, fp binary")
 
 
 def candidates(reps: DataFrame) -> DataFrame:
     """Pairs (a, b, c) of fingerprints; c: in how many places of the forest they met."""
-    rows = reps.select("fp", "sig").mapInArrow(_orders, "tree int, key binary, fp binary")
-    n = max(1, int(reps.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    dealt = rows.repartitionByRange(n, "tree", "key", "fp").sortWithinPartitions("tree", "key", "fp")
-    return dealt.mapInArrow(_near, "a binary, b binary").groupBy("a", "b").agg(F.count("*").alias("c"))
+    dealt = orders(reps).repartitionByRange(_partitions(reps), "tree", "key", "fp").sortWithinPartitions("tree", "key", "fp")
+    met = written(dealt.mapInArrow(_near, MET), "near-met")
+    # a few rows of each partition, put in order, meet across the cuts
+    cut = met.filter(F.col("b").isNull()).select("tree", "key", F.col("a").alias("fp")).distinct().repartition(1).sortWithinPartitions("tree", "key", "fp")
+    both = met.filter(F.col("b").isNotNull()).select("a", "b").union(cut.mapInArrow(_near, MET).filter(F.col("b").isNotNull()).select("a", "b"))
+    pairs = written(both.groupBy("a", "b").agg(F.count("*").alias("c")), "near-pairs")
+    remove(met)
+    return pairs
 
 
 def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -202,118 +241,176 @@ def confirmed(pairs: DataFrame, texts: DataFrame, least: int) -> DataFrame:
     wanted = led.select("hub", "streak", "fp", F.lit(1).alias("member")).union(
         led.select("hub", "streak").distinct().select("hub", "streak", F.col("hub").alias("fp"), F.lit(0).alias("member"))
     )
-    n = max(1, int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     rows = wanted.join(texts, "fp").select("hub", "streak", "member", "fp", "z")
-    return rows.repartition(n, "hub", "streak").sortWithinPartitions("hub", "streak", "member", "fp").mapInArrow(_confirm(least), "a binary, b binary")
-
-
-def _across(least: int):
-    """Rows (tree, region, root, fp, z) sorted by region -> links (a, b) between components of a region, exact for its rows."""
-
-    def links(roots: list[bytes], fps: list[bytes], sets: list[np.ndarray]) -> list[tuple[bytes, bytes]]:
-        names, of = np.unique(np.array(roots, dtype=object), return_inverse=True)
-        of, out = of.copy(), []
-        if len(names) < 2:
-            return out
-        flat = np.unique(np.concatenate(sets), return_inverse=True)[1]
-        size = np.array([len(s) for s in sets])
-        at = np.concatenate([[0], np.cumsum(size)[:-1]])
-        mark = np.zeros(int(flat.max()) + 1, bool)
-        for i in np.flatnonzero(of != np.bincount(of).argmax()):
-            own = flat[at[i] : at[i] + size[i]]
-            mark[own] = True
-            both = np.add.reduceat(mark[flat], at, dtype=np.int64)
-            mark[own] = False
-            near = np.flatnonzero((100 * both >= least * (size[i] + size - both)) & (of != of[i]))
-            for j in near:
-                if of[j] != of[i]:
-                    out.append((fps[i], fps[j]))
-                    of[of == of[j]] = of[i]
+    return rows.repartition(_partitions(pairs), "hub", "streak").sortWithinPartitions("hub", "streak", "member", "fp").mapInArrow(_confirm(least), "a binary, b binary")
+
+
+def _several(rows: DataFrame, roots: DataFrame) -> DataFrame:
+    """rows (tree, key, fp) of regions that hold several components, with region, root and n, the rows of the region."""
+    rows = rows.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("tree", "key", "fp", F.coalesce("root", "fp").alias("root"), F.substring("key", 1, 2 * LEAST_DEPTH).alias("region"))
+    sizes = rows.groupBy("tree", "region").agg(F.count("*").alias("n"), F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("tree", "region", "n")
+    return rows.join(sizes, ["tree", "region"])
+
+
+def _nearest_others(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by tree and key -> pairs (a, b) of each row and the nearest rows of another component before and after it in its region."""
+    before = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        region = _prefixes(batch)[:, : LEAST_DEPTH + 1]
+        fp, root = (np.array(batch.column(c).to_pylist(), dtype=object) for c in ("fp", "root"))
+        if before is not None:
+            region, fp, root = np.concatenate([before[0], region]), np.concatenate([before[1], fp]), np.concatenate([before[2], root])
+        n = len(fp)
+        inside = np.zeros(n, bool)
+        inside[1:] = (region[1:] == region[:-1]).all(1)
+        starts = ~inside
+        starts[1:] |= root[1:] != root[:-1]
+        at = np.flatnonzero(starts)
+        run = np.cumsum(starts) - 1
+        low, high = at[run], np.append(at[1:], n)[run]
+        i = np.flatnonzero(inside[low])
+        j = np.flatnonzero(high < n)
+        j = j[inside[high[j]]]
+        pairs = {(min(p), max(p)) for p in [*zip(fp[i], fp[low[i] - 1], strict=True), *zip(fp[j], fp[high[j]], strict=True)]}
+        if pairs:
+            a, b = zip(*pairs, strict=True)
+            yield pa.RecordBatch.from_arrays([_fixed(a), _fixed(b)], names=["a", "b"])
+        # the last row of each of the last two runs
+        keep = np.unique([max(0, at[-1] - 1), n - 1])
+        before = region[keep], fp[keep], root[keep]
+
+
+def nearer(several: DataFrame) -> DataFrame:
+    """Pairs (a, b) of nearest rows of different components; several: as _several() gives."""
+    rows = several.select("tree", "key", "fp", "root")
+    dealt = rows.repartitionByRange(_partitions(several), "tree", "key", "fp").sortWithinPartitions("tree", "key", "fp")
+    return dealt.mapInArrow(_nearest_others, "a binary, b binary").distinct()
+
+
+def _alike(least: int):
+    """Rows (tree, region, root, fp, n_shingles, sig) sorted by region -> fp of those that have a row of another component, LIKE equal hashes and a fitting size beside them."""
+
+    def alike(root: list[bytes], size: np.ndarray, sig: np.ndarray) -> np.ndarray:
+        of = np.unique(np.array(root, dtype=object), return_inverse=True)[1]
+        out = np.zeros(len(of), bool)
+        step = max(1, (1 << 22) // (K * len(of)))
+        for i in range(0, len(of), step):
+            e = slice(i, i + step)
+            fits = (of[e, None] != of) & (100 * np.minimum(size[e, None], size) >= least * np.maximum(size[e, None], size))
+            out[e] = (fits & ((sig[e, None] == sig).sum(2) >= LIKE)).any(1)
         return out
 
-    def across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        z = zstandard.ZstdDecompressor()
-        now, roots, fps, sets = None, [], [], []
+    def regions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, root, fp, size, sig = None, [], [], [], []
+
+        def found() -> list[bytes]:
+            hit = alike(root, np.array(size, np.int64), np.frombuffer(b"".join(sig), ">u2").reshape(-1, K))
+            return [f for f, h in zip(fp, hit.tolist(), strict=True) if h]
+
         for batch in batches:
-            found = []
-            for i in range(0, batch.num_rows, 512):
-                part = batch.slice(i, 512)
-                texts = pa.array([z.decompress(t).decode() for t in part.column("z").to_pylist()], pa.large_string())
-                for region, root, fp, own in zip(zip(part.column("tree").to_pylist(), part.column("region").to_pylist(), strict=True), part.column("root").to_pylist(), part.column("fp").to_pylist(), shingle_sets(texts), strict=True):
-                    if region != now:
-                        if sets:
-                            found += links(roots, fps, sets)
-                        now, roots, fps, sets = region, [], [], []
-                    roots.append(root)
-                    fps.append(fp)
-                    sets.append(own)
-            if found:
-                yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in found], pa.binary()), pa.array([b for _, b in found], pa.binary())], names=["a", "b"])
-        if sets and (found := links(roots, fps, sets)):
-            yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in found], pa.binary()), pa.array([b for _, b in found], pa.binary())], names=["a", "b"])
-
-    return across
-
-
-def _blocks(rows: DataFrame) -> list[DataFrame]:
-    """Large regions cut into parts of about REGION rows, so that each row outside the region's main component meets all its rows in some part."""
-    half = REGION // 2
-    wide, high = F.ceil(F.col("n") / half), F.ceil(F.col("lone") / half)
-    lone, own, place = F.col("root") != F.col("main"), F.pmod(F.xxhash64(F.lit(1), "fp"), high), F.pmod(F.xxhash64("fp"), wide)
-    rows = rows.select("tree", F.hex("region").alias("region"), "root", "fp", lone.alias("lone"), own.alias("own"), place.alias("place"), wide.alias("wide"), high.alias("high"))
-    met = rows.withColumn("i", F.explode(F.sequence(F.lit(0), F.col("high") - 1))).filter(~(F.col("lone") & (F.col("i") == F.col("own")))).withColumn("j", F.col("place"))
-    ask = rows.filter("lone").withColumn("i", F.col("own")).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("wide") - 1)))
-    return [x.select("tree", F.concat_ws(":", "region", F.col("i").cast("string"), F.col("j").cast("string")).alias("region"), "root", "fp") for x in (met, ask)]
-
-
-def links_across(reps: DataFrame, texts: DataFrame, roots: DataFrame, least: int) -> DataFrame:
-    """Links (a, b) between components (node, root) that share a region; reps: those with candidates."""
-    rows = reps.select("fp", "sig").mapInArrow(_orders, "tree int, key binary, fp binary")
-    rows = written(rows.join(roots.select(F.col("node").alias("fp"), "root"), "fp", "left").select("tree", "key", "fp", F.coalesce("root", "fp").alias("root")), "near-orders")
-    rows = rows.withColumn("region", F.substring("key", 1, 2 * LEAST_DEPTH))
-    sizes = rows.groupBy("tree", "region").agg(F.count("*").alias("n"), F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("tree", "region", "n")
-    fit = rows.join(sizes.filter(F.col("n") <= REGION), ["tree", "region"], "left_semi")
-    wanted = fit.select("tree", F.hex("region").alias("region"), "root", "fp")
-    more = written(rows.join(sizes.filter(F.col("n") > REGION), ["tree", "region"], "left_semi"), "near-large-rows")
-    if more.limit(1).count():
-        large = more.groupBy("tree", "region", "root").agg(F.count("*").alias("n")).groupBy("tree", "region").agg(F.sum("n").alias("n"), F.max(F.struct("n", "root")).alias("top"))
-        large = written(large.select("tree", "region", "n", F.col("top.root").alias("main"), (F.col("n") - F.col("top.n")).alias("lone")), "near-large")
-        for part in _blocks(more.join(large, ["tree", "region"])):
-            wanted = wanted.union(part)
-    n = max(1, int(reps.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    rows = wanted.join(texts, "fp").repartition(n, "tree", "region").sortWithinPartitions("tree", "region", "fp")
-    return rows.select("tree", "region", "root", "fp", "z").mapInArrow(_across(least), "a binary, b binary")
+            out = []
+            for t, g, r, f, n, s in zip(*(batch.column(c).to_pylist() for c in ("tree", "region", "root", "fp", "n_shingles", "sig")), strict=True):
+                if (t, g) != now:
+                    out += found() if fp else []
+                    now, root, fp, size, sig = (t, g), [], [], [], []
+                root.append(r)
+                fp.append(f)
+                size.append(n)
+                sig.append(s)
+            if out:
+                yield pa.RecordBatch.from_arrays([_fixed(out)], names=["fp"])
+        if fp and (out := found()):
+            yield pa.RecordBatch.from_arrays([_fixed(out)], names=["fp"])
+
+    return regions
+
+
+def _shingle_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    z = zstandard.ZstdDecompressor()
+    for batch in batches:
+        for i in range(0, batch.num_rows, 128):
+            part = batch.slice(i, 128)
+            texts = pa.array([z.decompress(t).decode() for t in part.column("z").to_pylist()], pa.large_string())
+            sets = list(shingle_sets(texts))
+            size = [len(s) for s in sets]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.repeat(part.column(c).to_numpy(), size)) for c in ("rid", "rh")] + [pa.array(np.concatenate(sets).view(np.int64))], names=["rid", "rh", "g"]
+            )
+
+
+def exact_rest(several: DataFrame, reps: DataFrame, texts: DataFrame, least: int) -> DataFrame:
+    """Pairs (a, b) of different components among the rows of several that may be similar enough: a prefix-filtered join of shingles."""
+    fit = several.filter(F.col("n") <= REGION).select("tree", "region", "root", "fp").join(reps.select("fp", "n_shingles", "sig"), "fp")
+    fit = fit.repartition(_partitions(several), "tree", "region").sortWithinPartitions("tree", "region", "fp").select("tree", "region", "root", "fp", "n_shingles", "sig")
+    some = fit.mapInArrow(_alike(least), "fp binary").union(several.filter(F.col("n") > REGION).select("fp")).distinct()
+    root_of = several.groupBy("fp").agg(F.min("root").alias("root"))
+    rows = root_of.join(some, "fp").join(reps.select("fp", "n_shingles"), "fp").withColumns({"rid": F.monotonically_increasing_id(), "rh": F.xxhash64("root")})
+    rows = written(rows, "near-rest")
+    shingles = written(rows.select("fp", "rid", "rh").join(texts, "fp").select("rid", "rh", "z").mapInArrow(_shingle_rows, "rid long, rh long, g long"), "near-shingles")
+    # what only one component has can't pair, and comes first in the order; then by rarity
+    live = shingles.groupBy("g").agg(F.count("*").alias("df"), F.min("rh").alias("lo"), F.max("rh").alias("hi")).filter("lo <> hi").select("g", "df")
+    own = Window.partitionBy("rid")
+    ranked = shingles.select("rid", "g").join(live, "g").select("rid", "g", F.row_number().over(own.orderBy("df", "g")).alias("i"), F.count("*").over(own).alias("live"))
+    left = F.col("live") - F.col("i") + 1  # shingles from this one on
+    most = F.floor(left * (100 + least) / F.lit(least)) - F.col("n_shingles")  # the largest set that can still be similar enough
+    ranked = ranked.join(rows.select("rid", "rh", "n_shingles"), "rid").select("rid", "g", "rh", F.col("n_shingles").alias("n"), most.alias("most"))
+    prefix = written(ranked.filter(100 * F.col("most") >= least * F.col("n")), "near-prefix")
+    # rows of one shingle in classes of equal bounds: only those go on that some other class, or another component in theirs, fits
+    kind = prefix.groupBy("g", "n", "most").agg(F.min("rh").alias("lo"), F.max("rh").alias("hi"))
+    other = kind.select(F.col("g").alias("h"), *[F.col(c).alias(f"o_{c}") for c in ("n", "most", "lo", "hi")])
+    fits = (F.col("g") == F.col("h")) & (F.col("o_n") <= F.col("most")) & (F.col("n") <= F.col("o_most")) & (F.least("lo", "o_lo") != F.greatest("hi", "o_hi"))
+    kept = prefix.join(kind.join(other, fits, "left_semi").select("g", "n", "most"), ["g", "n", "most"], "left_semi")
+    x = kept.select("g", "rid", "rh", "n", "most")
+    y = kept.select(F.col("g").alias("h"), *[F.col(c).alias(f"o_{c}") for c in ("rid", "rh", "n", "most")])
+    pairs = x.join(y, (F.col("g") == F.col("h")) & (F.col("rid") < F.col("o_rid")) & (F.col("rh") != F.col("o_rh")) & (F.col("o_n") <= F.col("most")) & (F.col("n") <= F.col("o_most"))).select("rid", F.col("o_rid").alias("to")).distinct()
+    pairs = pairs.join(rows.select("rid", F.col("fp").alias("a")), "rid").join(rows.select(F.col("rid").alias("to"), F.col("fp").alias("b")), "to")
+    out = written(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), "near-rest-pairs")
+    for done in (rows, shingles, prefix):
+        remove(done)
+    return out
 
 
 def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", least: int = 80) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept, th) of every row of docs; th: xxhash64 of the text."""
     rows = written(signed(docs, text, doc_id), "near-signed")
     reps = rows.filter(F.col("fp").isNotNull()).groupBy("fp").agg(
-        F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th")).alias("rep"), F.min("doc_id").alias("low"), F.min("sig").alias("sig")
+        F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th")).alias("rep"), F.min("doc_id").alias("low"), F.min("sig").alias("sig"), F.min("n_shingles").alias("n_shingles")
     )
-    reps = written(reps.select("fp", "low", F.col("rep.doc_id").alias("rep_id"), F.col("rep.th").alias("rep_th"), "sig"), "near-reps")
-    pairs = written(candidates(reps), "near-pairs")
-    ends = pairs.select(F.explode(F.array("a", "b")).alias("fp")).distinct()
+    reps = written(reps.select("fp", "low", F.col("rep.doc_id").alias("rep_id"), F.col("rep.th").alias("rep_th"), "sig", "n_shingles"), "near-reps")
+    pairs = candidates(reps)
+    best = (
+        pairs.select(F.col("a").alias("v"), F.col("b").alias("w"), "c").union(pairs.select(F.col("b").alias("v"), F.col("a").alias("w"), "c"))
+        .groupBy("v").agg(F.max(F.struct("c", "w")).alias("best")).select("v", F.col("best.w").alias("w"))
+    )
+    best = written(best, "near-best")
+    # every row that shares a region with another has a candidate
+    ends = best.select(F.col("v").alias("fp"))
     texts = written(
         docs.select(F.col(doc_id).cast("long").alias("id"), F.xxhash64(F.col(text)).alias("th"), F.col(text).cast("string").alias("text"))
         .join(reps.join(ends, "fp").select("fp", "rep_id", "rep_th"), (F.col("rep_id").eqNullSafe(F.col("id"))) & (F.col("rep_th") == F.col("th")))
         .dropDuplicates(["fp"]).select("fp", "text").mapInArrow(_pack, "fp binary, z binary"),
         "near-texts",
     )
-    best = (
-        pairs.select(F.col("a").alias("v"), F.col("b").alias("w"), "c").union(pairs.select(F.col("b").alias("v"), F.col("a").alias("w"), "c"))
-        .groupBy("v").agg(F.max(F.struct("c", "w")).alias("best")).select("v", F.col("best.w").alias("w"))
-    )
-    first = written(best.select(F.least("v", "w").alias("a"), F.greatest("v", "w").alias("b")).distinct(), "near-first")
-    links = written(confirmed(first, texts, least), "near-links")
-    roots = components(links)
-    more = written(links_across(reps.join(ends, "fp", "left_semi"), texts, roots, least), "near-more")
-    if more.limit(1).count():
-        roots = components(links.union(more))
+    tried = [written(best.select(F.least("v", "w").alias("a"), F.greatest("v", "w").alias("b")).distinct(), "near-first")]
+    links = [written(confirmed(tried[0], texts, least), "near-links")]
+    placed = written(orders(reps.join(ends, "fp", "left_semi")), "near-orders")
+    roots = components(links[0])
+    for k in range(ROUNDS + 1):
+        several = written(_several(placed, roots), "near-several")
+        more = nearer(several) if k < ROUNDS else exact_rest(several, reps, texts, least)
+        more = more.join(reduce(DataFrame.union, tried), ["a", "b"], "left_anti")
+        tried.append(written(more, "near-tried"))
+        links.append(written(confirmed(tried[-1], texts, least), "near-links"))
+        remove(several)
+        if links[-1].limit(1).count():
+            before, roots = roots, components(reduce(DataFrame.union, links))
+            remove(before)
     low = reps.select("fp", "low").join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "low", F.coalesce("root", "fp").alias("root"))
     least_of = low.groupBy("root").agg(F.min("low").alias("component_id"))
     classes = written(low.join(least_of, "root").select("fp", "component_id"), "near-classes")
-    for done in (pairs, texts, first, links, more, reps):
+    for done in (pairs, best, texts, placed, reps, *tried, *links):
         remove(done)
     out = rows.join(classes, "fp", "left").withColumn("component_id", F.when(F.col("fp").isNull(), F.col("doc_id")).otherwise(F.col("component_id")))
     return out.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)).alias("kept"), "th")

@@ -7,7 +7,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from quartzgraph.llm import common, near_dedup, queries, secrets, toxicity, training_order, url_filter
+from quartzgraph.llm import common, components, near_dedup, queries, secrets, toxicity, training_order, url_filter
 from quartzgraph.llm import language_id as lid
 
 SF = "/root/testdata/sf0.001"
@@ -150,27 +150,44 @@ def test_dense_near_copies(spark, monkeypatch, region):
     assert [r["kept"] for r in got] == [i == x for i, x in enumerate(root)]
 
 
-def test_blocks_meet(spark, monkeypatch):
-    """In a large region each row outside the main component shares a part with every row, once a part."""
-    monkeypatch.setattr(near_dedup, "REGION", 8)
-    rows = [(0, b"k", b"m" if i >= 11 else bytes([i]), i.to_bytes(2, "big"), 50, b"m", 11) for i in range(50)]
-    df = spark.createDataFrame(rows, "tree int, region binary, root binary, fp binary, n long, main binary, lone long")
-    met, ask = near_dedup._blocks(df)
-    got = [(r["region"], bytes(r["fp"])) for r in met.union(ask).collect()]
-    assert len(got) == len(set(got))
-    parts = {}
-    for part, fp in got:
-        parts.setdefault(part, set()).add(fp)
-    fps = {r[3] for r in rows}
-    for i in range(11):
-        own = rows[i][3]
-        assert set().union(*(p for p in parts.values() if own in p)) == fps
-
-
-def test_single_links_among_like_texts(spark, monkeypatch):
-    """Pairs just over the bound that agree in 3 hashes of some order but nowhere in 8, among texts that share most shingles: no number of lone rows loses one."""
-    monkeypatch.setattr(near_dedup, "REGION", 4)
-    monkeypatch.setattr(near_dedup, "LONE", 4, raising=False)  # the bound that there was
+@pytest.mark.parametrize("parts", [1, 4, 200])
+def test_cuts_lose_no_link(spark, parts):
+    """The same classes however the orders are cut, also into more parts than rows."""
+    rng = np.random.default_rng(6)
+    words = lambda n: [f"w{i}" for i in rng.integers(0, 10**9, n)]
+    texts = []
+    for k in range(12):
+        w = words(200 if k < 6 else 40)
+        texts += [" ".join(w), " ".join([*w[: k % 5], "other", *w[k % 5 + 1 :]])]
+    had = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", parts)
+    try:
+        for some in (texts[:2], texts):
+            got = near_dedup.near_duplicates(spark.createDataFrame(list(enumerate(some)), "doc_id long, text string")).collect()
+            assert [r["component_id"] for r in sorted(got, key=lambda r: r["doc_id"])] == brute_near(some)[1]
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", had)
+
+
+def test_neighbours_across_cuts(spark):
+    """A region cut into parts of any size keeps its chain of neighbours and the links to its head."""
+    sig = lambda i: b"".join(int(x).to_bytes(2, "big") for x in [7, 7, 7, *np.random.default_rng(i).integers(0, 9, near_dedup.K - 3)])
+    reps = spark.createDataFrame([(i.to_bytes(16, "big"), sig(i)) for i in range(40)], "fp binary, sig binary")
+    had = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        for parts in (1, 3, 20, 90):
+            spark.conf.set("spark.sql.shuffle.partitions", parts)
+            order = [bytes(r["fp"]) for r in near_dedup.orders(reps).filter("tree = 0").orderBy("key", "fp").collect()]
+            got = {(bytes(r["a"]), bytes(r["b"])) for r in near_dedup.candidates(reps).collect()}
+            assert {tuple(sorted(x)) for x in zip(order, order[1:], strict=False)} <= got
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", had)
+
+
+@pytest.mark.parametrize("region", [near_dedup.REGION, 4])
+def test_single_links_among_like_texts(spark, monkeypatch, region):
+    """Pairs just over the bound that agree in 3 hashes of some order but nowhere in 8, among texts that share most shingles: none is lost, and hardly another pair is tried."""
+    monkeypatch.setattr(near_dedup, "REGION", region)
     rng = np.random.default_rng(4)
     words = lambda n: [f"w{i}" for i in rng.integers(0, 10**9, n)]
     base = words(83)
@@ -187,8 +204,41 @@ def test_single_links_among_like_texts(spark, monkeypatch):
     reps = near_dedup.signed(df)
     of = {bytes(r["fp"]): r["doc_id"] for r in reps.collect()}
     packed = reps.join(df, "doc_id").select("fp", "text").mapInArrow(near_dedup._pack, "fp binary, z binary")
-    links = near_dedup.links_across(reps, packed, spark.createDataFrame([], "node binary, root binary"), 80).collect()
-    assert {tuple(sorted((of[bytes(r["a"])], of[bytes(r["b"])]))) for r in links} == set(pairs)
+    several = near_dedup._several(near_dedup.orders(reps), spark.createDataFrame([], "node binary, root binary"))
+    tried = near_dedup.exact_rest(several, reps, packed, 80)
+    links = near_dedup.confirmed(tried, packed, 80).collect()
+    assert {tuple(sorted((of[bytes(r["a"])], of[bytes(r["b"])]))) for r in links} == set(pairs) and tried.count() < 200
+
+
+def test_near_copies_without_square_work(spark):
+    """Of many copies of one text with a few changes each, the pairs tried grow with the copies."""
+    rng, tried = np.random.default_rng(5), {}
+    base = [f"w{i}" for i in range(60)]
+    for n in (300, 1200):
+        texts = []
+        for k in range(n):
+            w = list(base)
+            for _ in range(1 + k % 4):
+                w[int(rng.integers(0, 60))] = f"x{rng.integers(0, 10**9)}"
+            texts.append(" ".join(w))
+        df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+        got = sorted(near_dedup.near_duplicates(df).collect(), key=lambda r: r["doc_id"])
+        if n == 300:
+            assert [r["component_id"] for r in got] == brute_near(texts)[1]
+        reps = near_dedup.signed(df)
+        packed = reps.join(df, "doc_id").select("fp", "text").mapInArrow(near_dedup._pack, "fp binary, z binary")
+        fp = {r["doc_id"]: bytes(r["fp"]) for r in reps.collect()}
+        roots = spark.createDataFrame([(fp[r["doc_id"]], fp[r["component_id"]]) for r in got], "node binary, root binary")
+        tried[n] = near_dedup.exact_rest(near_dedup._several(near_dedup.orders(reps), roots), reps, packed, 80).count()
+    assert tried[1200] <= 1200
+
+
+def test_components_in_one_task_and_in_rounds(spark):
+    rng = np.random.default_rng(7)
+    edges = spark.createDataFrame([(int(a), int(b)) for a, b in rng.integers(0, 300, (200, 2))], "a long, b long")
+    want = sorted(map(tuple, components.components(edges, few=0).collect()))
+    assert sorted(map(tuple, components.components(edges).collect())) == want and want
+    assert components.components(edges.limit(0)).count() == components.components(edges.limit(0), few=-1).count() == 0
 
 
 def auc(score, y):
