@@ -6,8 +6,11 @@ collapse, and Viterbi finds the likeliest letters under a character trigram mode
 out with gaps, a gap may end a word, so that several words come apart; it is also read as one word. The restored words are then looked up in a lexicon of words and beginnings that are much more frequent in toxic texts, and a
 logistic regression scores the text by how much of it the lexicon finds.
 
-The character model counts the trigrams of all documents. Lexicon and regression are fitted on the driver, on at most TRAIN_TOXIC
-and TRAIN_CLEAN labelled rows, those with the least hashes of doc_id that aren't held out. All texts are scored whole.
+The character model counts the trigrams of all runs of letters of all documents, exactly; the ALPHABET commonest letters are told apart, the others are
+one class, which bounds the model. Viterbi keeps every state that can still win: one that is dearer than the best by more than MARGIN can't, as any way on from it
+costs at most that much more from the best one. Lexicon and regression are fitted on the driver, on at most TRAIN_TOXIC
+and TRAIN_CLEAN labelled rows, those with the least hashes of doc_id that aren't held out; the regression's level is then moved from the share of toxic rows
+in that sample to their share in all training rows, so that a score means the same at every size. All texts are scored whole.
 
 Defined cases: null and empty texts get the score of a text without words; without training rows of both
 classes every score is 0; repeated rows get equal results; doc_id may be null (it counts as ''); extra
@@ -27,22 +30,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import held_out, table
+from .common import held_out, remove, table, written
 
 TRAIN_TOXIC, TRAIN_CLEAN = 1500, 2500
-#: The character model's table has 2**CHAR_BITS slots, whatever the size of the corpus.
-CHAR_BITS = 20
-SPREAD, ANY = 0x9E3779B97F4A7C15, 0x1FFFFF
-_U = np.uint64
-#: Words of more letters aren't counted in the character model.
-DECODED = 24
+#: Letters that the character model tells apart, a to z among them.
+ALPHABET = 96
+BEGIN, STOP = ord("^"), ord("$")
 # What a sign or digit may stand for.
 STANDS_FOR = {
     "0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "gb", "7": "t", "8": "b", "9": "g",
     "@": "a", "$": "s", "!": "il", "|": "il", "+": "t", "(": "c", "<": "c", "€": "e", "£": "l", "¡": "i", "*": "aeiou", "#": "aeiou",
 }
-EDGE = re.compile(r"^[^\w@$€£|(<!¡*#+]+|[^\w@$€£]+$")
-EDGES = re.compile(r"^([^\w])\1+|([^\w])\2+$")
 ODD = re.compile(r"[^\w]|[\d_]|(.)\1\1")
 BLANK = re.compile(r"\s")
 LETTER = re.compile(r"[^\W\d_]")
@@ -51,65 +49,63 @@ STRETCHED = re.compile(r"([^\W\d_])\1{2,}")
 FILLING = re.compile(r"([^\w])\1{3,}")
 
 
-def _slot(a: int, b: int, c: int) -> int:
-    """Slot of the characters a, b, c; 0 stands for a context that isn't looked at."""
-    return ((((a << 21 | b) << 21 | c) * SPREAD) & ((1 << 64) - 1)) >> (64 - CHAR_BITS)
-
-
-def _slots(a, b, c) -> np.ndarray:
-    """The same for arrays of 64-bit code points."""
-    return (((_U(a) << _U(42)) | (_U(b) << _U(21)) | _U(c)) * _U(SPREAD)) >> _U(64 - CHAR_BITS)
-
-
 class CharModel:
-    """Character trigrams of words, mixed with shorter contexts, from the counts that char_counts gathers."""
+    """Character trigrams of words, mixed with shorter contexts, from the counts that char_counts gathers: (a, b, c) -> n over the characters of letters and two marks."""
 
-    def __init__(self, counts: np.ndarray) -> None:
-        self.n = counts
+    def __init__(self, letters: list[str], counts: np.ndarray) -> None:
+        self.of = {c: i for i, c in enumerate(["^", "$", None, *letters])}
+        self.n3 = counts.astype(np.float64)
+        self.n2 = self.n3.sum(0)
+        self.n1 = self.n2.sum(0)
         self.kept: dict[str, float] = {}
 
     def cost(self, context: str, c: str) -> float:
         key = context + c
         if (x := self.kept.get(key)) is None:
-            a, b, z = map(ord, key)
-            n = lambda *k: int(self.n[_slot(*k)])
-            p = 0.02 / 64 + 0.08 * n(0, 0, z) / max(1, n(0, 0, ANY)) + 0.2 * n(0, b, z) / max(1, n(0, b, ANY)) + 0.7 * n(a, b, z) / max(1, n(a, b, ANY))
+            a, b, z = (self.of.get(k, 2) for k in key)
+            share = lambda n, all_: float(n) / max(1.0, float(all_))
+            p = 0.02 / 64 + 0.08 * share(self.n1[z], self.n1.sum()) + 0.2 * share(self.n2[b, z], self.n2[b].sum()) + 0.7 * share(self.n3[a, b, z], self.n3[a, b].sum())
             x = self.kept[key] = -math.log(p)
         return x
 
 
+#: Largest cost of a character under the model.
+DEAREST = -math.log(0.02 / 64)
+#: From the best state the way of another one can be gone: once a letter is written where the other repeats its last, and until two letters are written the contexts differ.
+MARGIN = 3 * DEAREST + 4.0
+
+
 @cache
-def _kinds() -> tuple[np.ndarray, np.ndarray]:
-    """Which code points are letters, and which are blank."""
-    return tuple(np.fromiter((f(chr(i)) for i in range(0x110000)), bool, 0x110000) for f in (str.isalpha, str.isspace))
+def _letters() -> np.ndarray:
+    """Which code points are letters."""
+    return np.fromiter((chr(i).isalpha() for i in range(0x110000)), bool, 0x110000)
 
 
-def _add_trigrams(text: str, into: np.ndarray) -> None:
-    """Adds the trigrams, bigrams and characters of the words of a text, and their contexts, to the slots."""
-    cp = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), np.uint32)
-    letter, blank = _kinds()
+@cache
+def _common_ids() -> tuple[np.ndarray, np.ndarray]:
+    """Number of each code point among the marks and the letters below 0x180 (-1: another one), and the code points by number."""
+    known = np.array([BEGIN, STOP, *(i for i in range(0x180) if chr(i).isalpha() and chr(i).lower() == chr(i))], np.int64)
+    of = np.full(0x110000, -1, np.int64)
+    of[known] = np.arange(len(known))
+    return of, known
+
+
+def trigrams(text: str) -> np.ndarray:
+    """(a, b, c) code points, three rows, of all runs of letters of a text, lower-cased, as ^^word$."""
+    cp = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
     ink = np.zeros(len(cp) + 2, np.int8)
-    ink[1:-1] = ~blank[cp]
+    ink[1:-1] = _letters()[cp]
     edges = np.flatnonzero(np.diff(ink))
-    starts, ends = edges[::2], edges[1::2]
-    letters = np.concatenate([[0], np.cumsum(letter[cp])])
-    ok = (ends - starts <= DECODED) & (letters[ends] - letters[starts] == ends - starts)
-    starts, size = starts[ok], (ends - starts)[ok]
-    if not len(starts):
-        return
-    # each word as ^^word$
+    starts, size = edges[::2], edges[1::2] - edges[::2]
     at = np.cumsum(size + 3) - (size + 3)
-    seq = np.full(int((size + 3).sum()), ord("^"), np.uint64)
+    seq = np.full(int((size + 3).sum()), BEGIN, np.int64)
     inside = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)
     seq[np.repeat(at + 2, size) + inside] = cp[np.repeat(starts, size) + inside]
-    seq[at + size + 2] = ord("$")
+    seq[at + size + 2] = STOP
     live = np.ones(len(seq), bool)
     live[at] = live[at + 1] = False
     i = np.flatnonzero(live)
-    a, b, c = seq[i - 2], seq[i - 1], seq[i]
-    seen = [_slots(a, b, c), _slots(a, b, ANY), _slots(0, b, c), _slots(0, b, ANY), _slots(0, 0, c)]
-    into += np.bincount(np.concatenate(seen).astype(np.int64), minlength=len(into))
-    into[_slot(0, 0, ANY)] += len(i)
+    return np.stack([seq[i - 2], seq[i - 1], seq[i]])
 
 
 def _pieces(batches: Iterator[pa.RecordBatch], chars: int = 1 << 20) -> Iterator[str]:
@@ -133,22 +129,46 @@ def _pieces(batches: Iterator[pa.RecordBatch], chars: int = 1 << 20) -> Iterator
 
 
 def _count_chars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    counts = np.zeros(1 << CHAR_BITS, np.int64)
+    of, known = _common_ids()
+    d = len(known)
+    common, rare = np.zeros(d**3, np.int64), Counter()
     for text in _pieces(batches):
-        _add_trigrams(text, counts)
-    at = np.flatnonzero(counts)
-    yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(counts[at], pa.int64())], names=["slot", "n"])
-
-
-def char_counts(docs: DataFrame, text: str = "text") -> np.ndarray:
-    """Counts of the trigrams of all words of all texts, without labels, in 2**CHAR_BITS slots: the corpus is counted whole, and what reaches the driver has a proven size."""
-    got = docs.select(F.col(text).cast("string").alias("t")).mapInArrow(_count_chars, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).toPandas()
-    counts = np.zeros(1 << CHAR_BITS, np.int64)
-    counts[got["slot"].to_numpy(np.int64)] = got["n"].to_numpy(np.int64)
-    return counts
-
-
-def decode(token: str, model: CharModel, beam: int = 48) -> str:
+        abc = trigrams(text)
+        i = of[abc]
+        ok = (i >= 0).all(0)
+        i = i[:, ok]
+        common += np.bincount((i[0] * d + i[1]) * d + i[2], minlength=d**3)
+        if not ok.all():
+            a, b, c = abc[:, ~ok]
+            keys, n = np.unique((a << 42) | (b << 21) | c, return_counts=True)
+            rare.update(dict(zip(keys.tolist(), n.tolist(), strict=True)))
+            if len(rare) > 1 << 20:
+                yield pa.RecordBatch.from_arrays([pa.array(list(rare), pa.int64()), pa.array(list(rare.values()), pa.int64())], names=["key", "n"])
+                rare.clear()
+    at = np.flatnonzero(common)
+    keys = (known[at // (d * d)] << 42) | (known[at // d % d] << 21) | known[at % d]
+    yield pa.RecordBatch.from_arrays([pa.array([*keys.tolist(), *rare], pa.int64()), pa.array([*common[at].tolist(), *rare.values()], pa.int64())], names=["key", "n"])
+
+
+def char_counts(docs: DataFrame, text: str = "text") -> tuple[list[str], np.ndarray]:
+    """The letters that are told apart, and counts of the trigrams of all runs of letters of all texts, without labels: the corpus is
+    counted whole, in a table that grows with what it holds; what reaches the driver is its sum by classes, at most (ALPHABET + 3)**3 rows."""
+    got = docs.select(F.col(text).cast("string").alias("t")).mapInArrow(_count_chars, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
+    part = lambda k: F.shiftright("key", 21 * k).bitwiseAND(F.lit(0x1FFFFF))
+    got = written(got.select(part(2).alias("a"), part(1).alias("b"), part(0).alias("c"), "n"), "tox-chars")
+    latin = list(range(ord("a"), ord("z") + 1))
+    others = got.filter(~F.col("c").isin(*latin, STOP)).groupBy("c").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "c").limit(ALPHABET - len(latin))
+    letters = [*latin, *sorted(r["c"] for r in others.collect())]
+    number = F.create_map(*[F.lit(x) for i, c in enumerate([BEGIN, STOP, None, *letters]) if c is not None for x in (c, i)])
+    of = lambda c: F.coalesce(number[F.col(c)], F.lit(2)).alias(c)
+    sums = got.select(of("a"), of("b"), of("c"), "n").groupBy("a", "b", "c").agg(F.sum("n").alias("n")).toPandas()
+    counts = np.zeros((len(letters) + 3,) * 3, np.int64)
+    counts[tuple(sums[c].to_numpy(np.int64) for c in "abc")] = sums["n"].to_numpy(np.int64)
+    remove(got)
+    return [chr(c) for c in letters], counts
+
+
+def decode(token: str, model: CharModel) -> str:
     """The likeliest letters behind a token, lower-cased; at a blank a word may end, and the words have a blank between them."""
     # a letter three times or more is one or two of it; more than three of a sign say no more than three
     token = FILLING.sub(r"\1\1\1", STRETCHED.sub(r"\1\1", token.lower()))
@@ -177,7 +197,8 @@ def decode(token: str, model: CharModel, beam: int = 48) -> str:
                     if context[1] == x:
                         put(context, cost + 1.5, word)
                 put(context, cost + (8.0 if c.isdigit() else 5.0 if stands else 1.0), word)
-        states = dict(sorted(after.items(), key=lambda kv: kv[1][0])[:beam])
+        least = min(x for x, _ in after.values()) + MARGIN
+        states = {k: v for k, v in after.items() if v[0] <= least}
 
     def read(word: tuple | None) -> str:
         out = []
@@ -191,12 +212,29 @@ def decode(token: str, model: CharModel, beam: int = 48) -> str:
     return min(read(word) for cost, word in last if cost == least)
 
 
+def bare(token: str) -> str:
+    """The token without a repeated sign at either end, and then without other signs there that stand for no letter."""
+    i, j = 0, len(token)
+    sign = lambda c: not (c.isalnum() or c == "_")
+    if j > 1 and sign(token[0]) and token[1] == token[0]:
+        while i < j and token[i] == token[0]:
+            i += 1
+    if j - i > 1 and sign(token[-1]) and token[j - 2] == token[-1]:
+        while j > i and token[j - 1] == token[-1]:
+            j -= 1
+    while i < j and sign(token[i]) and token[i] not in STANDS_FOR:
+        i += 1
+    while j > i and sign(token[j - 1]) and token[j - 1] not in STANDS_FOR:
+        j -= 1
+    return token[i:j]
+
+
 def restore(token: str, model: CharModel) -> str:
     """The word behind a token, lower-cased and without punctuation around it."""
     if token.isalpha():
         core = token.lower()
         return decode(core, model) if ODD.search(core) else core
-    core = EDGE.sub("", EDGES.sub("", token)).lower()
+    core = bare(token).lower()
     if ODD.search(core) and LETTER.search(core):
         return decode(core, model)
     return core
@@ -284,8 +322,8 @@ def _regress(x: np.ndarray, y: np.ndarray, ridge: float = 0.5) -> np.ndarray:
     return out
 
 
-def fit(texts: list[str], toxic: list[int], chars: CharModel) -> dict:
-    """With the character model, the lexicon and the regression on what it finds; for the latter each half of the texts is seen by the other half's lexicon."""
+def fit(texts: list[str], toxic: list[int], chars: CharModel, odds: float | None = None) -> dict:
+    """odds: toxic to clean rows where the texts come from; none: as in the texts. With the character model, the lexicon and the regression on what it finds; for the latter each half of the texts is seen by the other half's lexicon."""
     raw = [tokens(t) for t in texts]
     known: dict[str, list[str]] = {}
     docs = []
@@ -304,13 +342,17 @@ def fit(texts: list[str], toxic: list[int], chars: CharModel) -> dict:
         lex = _lexicon([d for d, k in zip(docs, half, strict=True) if k != h], y[half != h])
         for i in np.flatnonzero(half == h):
             x[i] = _dense([(u, n) for w, n in docs[i].items() if (u := _word(w, lex)) > 0], sum(docs[i].values()))
-    return {"chars": chars, "lexicon": _lexicon(docs, y), "weights": _regress(x, y.astype(float)).tolist()}
+    w = _regress(x, y.astype(float))
+    if odds is not None:
+        w[0] += math.log(odds * (y == 0).sum() / (y == 1).sum())
+    return {"chars": chars, "lexicon": _lexicon(docs, y), "weights": w.tolist()}
 
 
 class Scorer:
     """Scores texts; keeps what it has worked out for tokens that it has met."""
 
-    KEEP = 400_000
+    #: How many tokens are kept, and how long they may be.
+    KEEP, LONG = 400_000, 64
 
     def __init__(self, model: dict) -> None:
         self.m = model
@@ -320,7 +362,7 @@ class Scorer:
         """How many words there are, and what the lexicon finds among them."""
         words = restored(t, self.m["chars"])
         u = max(len(words), " " not in t), [x for w in words if (x := _word(w, self.m["lexicon"]))]
-        if len(t) <= 2 * DECODED:
+        if len(t) <= self.LONG:
             self.of[t] = u
         return u
 
@@ -363,7 +405,8 @@ def train(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str =
     got = d.join(F.broadcast(picked), "i").groupBy("i").agg(F.min("t").alias("t"), F.max("y").alias("y")).orderBy("i").toPandas()
     if got["y"].nunique() < 2:
         return {"chars": None}
-    return fit(got["t"].tolist(), got["y"].tolist(), CharModel(char_counts(docs, text)))
+    n = {r["y"]: r["n"] for r in known.groupBy("y").agg(F.count("*").alias("n")).collect()}
+    return fit(got["t"].tolist(), got["y"].tolist(), CharModel(*char_counts(docs, text)), n[1] / n[0])
 
 
 def score_toxicity(docs: DataFrame, model: dict, text: str = "text", doc_id: str = "doc_id") -> DataFrame:

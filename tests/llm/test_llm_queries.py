@@ -327,38 +327,78 @@ def test_gradient_expectations():
 
 
 def test_char_counts_cover_all_texts(spark):
-    texts = ["Ab ab, cde", None, "", "x1 ÄÖ\u2003abc " + "q" * 30, "word " * 300_000 + "z", "u" * 1_100_000 + "v w"]
-    counts = toxicity.char_counts(spark.createDataFrame([(t,) for t in texts], "text string").repartition(3))
+    """Runs of letters of any length and script, against a plain count; beyond the alphabet, letters are one class."""
+    texts = ["Ab ab, cde", None, "", "x1 \u00c4\u00d6\u2003abc " + "q" * 30, "word " * 300_000 + "z", "u" * 1_100_000 + "v w", "\u0434\u0430 " * 3 + "\u4e2d\u6587" + "".join(chr(0x4E00 + i) for i in range(200))]
+    letters, counts = toxicity.char_counts(spark.createDataFrame([(t,) for t in texts], "text string").repartition(3))
+    assert len(letters) == toxicity.ALPHABET and set("abcxyz") <= set(letters) and "\u0434" in letters
+    of = {c: i for i, c in enumerate(["^", "$", None, *letters])}
     want = np.zeros_like(counts)
-    for w in (w.lower() for t in texts for w in (t or "").split()):
-        if w.isalpha() and len(w) <= toxicity.DECODED:
-            s = [*map(ord, f"^^{w}$")]
-            for a, b, c in zip(s, s[1:], s[2:], strict=False):
-                for k in ((a, b, c), (a, b, toxicity.ANY), (0, b, c), (0, b, toxicity.ANY), (0, 0, c), (0, 0, toxicity.ANY)):
-                    want[toxicity._slot(*k)] += 1
-    assert (counts == want).all() and counts[toxicity._slot(*map(ord, "wor"))] == 300_000
+    for w in (w for t in texts for w in re.findall(r"[^\W\d_]+", (t or "").lower())):
+        x = [of.get(c, 2) for c in f"^^{w}$"]
+        for k in zip(x, x[1:], x[2:], strict=False):
+            want[k] += 1
+    assert (counts == want).all() and counts[of["w"], of["o"], of["r"]] == 300_000 and counts[2, 2, 2] > 50
+
+
+def plain_chars(text):
+    letters = [chr(c) for c in range(97, 123)]
+    of = {c: i for i, c in enumerate(["^", "$", None, *letters])}
+    counts = np.zeros((29, 29, 29), np.int64)
+    for a, b, c in toxicity.trigrams(text).T.tolist():
+        counts[of[chr(a)], of[chr(b)], of[chr(c)]] += 1
+    return toxicity.CharModel(letters, counts)
+
+
+ENGLISH = "you are an idiot and that is what it is you idiot the moron is here and you know that you are here stupid loser said so "
+
+
+def exhaustive(token, model):
+    """The least cost over all readings, and the words that have it."""
+    out = []
+
+    def go(i, context, cost, word):
+        if i == len(token):
+            out.append((cost + model.cost(context, "$"), word))
+            return
+        c = token[i]
+        if c == " ":
+            go(i + 1, context, cost, word)
+            if context != "^^":
+                go(i + 1, "^^", cost + model.cost(context, "$"), word + " ")
+        elif c.isalpha():
+            go(i + 1, context[1] + c, cost + 0.05 + model.cost(context, c), word + c)
+            if context[1] == c:
+                go(i + 1, context, cost + 1.0, word)
+        else:
+            stands = toxicity.STANDS_FOR.get(c, "")
+            for x in stands:
+                go(i + 1, context[1] + x, cost + 0.7 + 0.4 * (len(stands) - 1) + model.cost(context, x), word + x)
+                if context[1] == x:
+                    go(i + 1, context, cost + 1.5, word)
+            go(i + 1, context, cost + (8.0 if c.isdigit() else 5.0 if stands else 1.0), word)
 
+    go(0, "^^", 0.0, "")
+    least = min(x for x, _ in out)
+    return {w for x, w in out if x < least + 1e-9}
 
-def test_toxicity_held_out(spark):
-    docs, labels = common.table(spark, "/root/testdata/sf0.1", "documents"), common.table(spark, "/root/testdata/sf0.1", "labels")
-    model = toxicity.train(docs, labels)
-    rows = toxicity.score_toxicity(docs.join(labels.select("doc_id"), "doc_id", "left_semi"), model).join(labels, "doc_id").filter("held_out and toxic is not null").collect()
-    y, s = np.array([r["toxic"] == 1 for r in rows]), np.array([r["score"] for r in rows])
-    assert auc(s, y) > 0.93 and ((s >= 0.5) & ~y).sum() <= 0.02 * (~y).sum() and ((s >= 0.5) & y).sum() > 0.8 * y.sum()
-    by = toxicity.Scorer(model)
-    assert [toxicity.restore(w, model["chars"]) for w in ("1d10t", "m0r0n", "$tupid", "iiidiot", "trash###", "p@thetic")] == ["idiot", "moron", "stupid", "idiot", "trash", "pathetic"]
-    clean = "the of and thing in that this"
-    assert by.text(clean) < 0.5 < by.text(clean + " 1d10t") and by.text(clean + " i d i o t") > by.text(clean)
+
+def test_decoding_against_all_readings():
+    """Viterbi over signs, repetitions and gaps finds the least of all readings."""
+    import random
+
+    rng, chars = random.Random(3), plain_chars(ENGLISH * 20)
+    for t in ["i d 1 o t", "m0r0n", "$tup1d", "l o $ e r", "a n i d i o t", "iid11ot"] + ["".join(rng.choice("idot1!0 $*.#xooa3") for _ in range(rng.randint(1, 7))) for _ in range(400)]:
+        t = re.sub(" +", " ", t).strip()
+        if t and not toxicity.STRETCHED.search(t) and not toxicity.FILLING.search(t):
+            assert toxicity.decode(t, chars) in exhaustive(t, chars), t
 
 
 def test_long_disguises():
     """Stretched, filled and spelled-out words are read whatever their length."""
-    plain = "you are an idiot and that is what it is you idiot the moron is here and you know that you are here " * 50
-    counts = np.zeros(1 << toxicity.CHAR_BITS, np.int64)
-    toxicity._add_trigrams(plain, counts)
-    chars = toxicity.CharModel(counts)
-    for t in ("i" * 24 + "diot", "i.....d.....i.....o.....t", "i" * 5000 + "d1" + "o" * 5000 + "t", "1" + "." * 30 + "diot"):
+    chars = plain_chars(ENGLISH * 50)
+    for t in ("i" * 24 + "diot", "i.....d.....i.....o.....t", "i" * 5000 + "d1" + "o" * 5000 + "t", "1" + "." * 30 + "diot", "iiiiiiiiiiiiiiiiiiiidiiiiot"):
         assert toxicity.restore(t, chars) == "idiot"
+    assert toxicity.restore("mooooooooooooooooooooooooron", chars) in ("moron", "mooron")
     model = {"chars": chars, "lexicon": {"idiot": 5.0}, "weights": [-1.0, 0.0, 0.0, 1.0, 0.0, 0.0, 0.0]}
     by = toxicity.Scorer(model)
     clean = "that is what it is"
@@ -366,6 +406,28 @@ def test_long_disguises():
         assert by.text(f"{clean} {t}") > 0.5 > by.text(clean), t
 
 
+@pytest.mark.parametrize("token", ["a" + "." * 10**6 + "a", "." * 10**6, "a" * 10**6, "." * 500_000 + "a" + "!" * 500_000, "a" + "-_" * 1000 + "b", "a " * 200_000, "ab" * 500_000])
+def test_long_tokens_take_linear_time(token):
+    import time
+
+    by = toxicity.Scorer({"chars": plain_chars(ENGLISH), "lexicon": {"idiot": 5.0}, "weights": [-1.0, 0.0, 0.0, 1.0, 0.0, 0.0, 0.0]})
+    began = time.process_time()
+    assert by.text(token) < 0.5 and time.process_time() - began < 20
+
+
+def test_toxicity_held_out(spark):
+    docs, labels = common.table(spark, "/root/testdata/sf0.1", "documents"), common.table(spark, "/root/testdata/sf0.1", "labels")
+    model = toxicity.train(docs, labels)
+    rows = toxicity.score_toxicity(docs.join(labels.select("doc_id"), "doc_id", "left_semi"), model).join(labels, "doc_id").filter("held_out and toxic is not null").collect()
+    y, s = np.array([r["toxic"] == 1 for r in rows]), np.array([r["score"] for r in rows])
+    assert auc(s, y) > 0.93 and ((s >= 0.5) & ~y).sum() <= 0.02 * (~y).sum() and ((s >= 0.5) & y).sum() > 0.8 * y.sum()
+    by = toxicity.Scorer(model)
+    assert [toxicity.bare(t) for t in ("", "...", "--a--", "'word',", "trash###", "!x", "a.b")] == ["", "", "a", "word", "trash", "!x", "a.b"]
+    assert [toxicity.restore(w, model["chars"]) for w in ("1d10t", "m0r0n", "$tupid", "iiidiot", "trash###", "p@thetic")] == ["idiot", "moron", "stupid", "idiot", "trash", "pathetic"]
+    clean = "the of and thing in that this"
+    assert by.text(clean) < 0.5 < by.text(clean + " 1d10t") and by.text(clean + " i d i o t") > by.text(clean)
+
+
 def test_shards(spark, tmp_path):
     for n in (1, 2, 5, 64, 1000):
         assert sorted(training_order.feistel(np.arange(n), n).tolist()) == list(range(n))
