@@ -84,28 +84,28 @@ def test_chats(spark):
     r = got[(1, "ann")]
     assert r["text"] == "<|system|>\nbe<|end|>\n<|assistant|>\nhi<|end|>\n<|user name=bob|>\n<|end|>\n<|assistant|>\nok<|end|>\n" and r["n_turns"] == 4
     said = [r["text"][int(a) : int(b)] for a, b in (x.split(":") for x in r["mask"].split(","))]
-    assert said == ["hi<|end|>\n", "ok<|end|>\n"] and r["loss_chars"] == 20 and got[(3, "ann")]["block"] == 7
-    ties = spark.createDataFrame([(1, None, "ann", f"t{i}") for i in range(700)], "conv_id long, turn long, role string, text string")
-    parts = chat_format.rotate(ties).collect()
-    assert len(parts) == 3 and sum(p["n_turns"] for p in parts) == 700
+    assert said == ["hi<|end|>\n", "ok<|end|>\n"] and r["loss_chars"] == 20 and got[(3, "ann")]["n_turns"] == 2
     assert chat_format.rotate(df.limit(0)).count() == 0
 
 
-def test_parts_of_tied_turns_are_consecutive(spark, duck, tmp_path):
-    """The parts of a block with many tied turns, put together, are the block as the SQL renders it."""
-    rows = [(c, None if i % 3 else i % 40, ("ann", "bob", "system", None)[i % 4], f"t{i}") for c in (None, 1) for i in range(900)] + [(2, i, "ann", f"u{i}") for i in range(100)]
+def test_long_dialogues(spark, duck, tmp_path, same_rows):
+    """Whole dialogues of hundreds of turns and ties, and longer ones in consecutive parts whose masks go on, as the SQL has them."""
+    rows = [(c, None if i % 3 else i % 40, ("ann", "bob", "system", None)[i % 4], f"t{i}\u00e9") for c in (None, 1) for i in range(2500)]
+    rows += [(2, i, ("ann", "bob")[i % 2], f"u{i}") for i in range(500)] + [(3, 7, "ann", f"tie{i}") for i in range(700)] + [(4, i, "ann", None) for i in range(1025)]
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
     df.coalesce(1).write.parquet(str(tmp_path / "out"))
     next((tmp_path / "out").glob("*.parquet")).rename(tmp_path / "conversations.parquet")
-    whole = {(c, s, b): (n, t, k) for c, s, b, _, n, t, _, k in duck(tmp_path).sql(chat_format.SQL_OP4).fetchall()}
+    same_rows(chat_format.rotate(df), duck(tmp_path).sql(chat_format.SQL_OP4))
     got = {}
     for r in sorted(chat_format.rotate(df).collect(), key=lambda r: r["part"]):
-        got.setdefault((r["conv_id"], r["speaker"], r["block"]), []).append(r)
-    assert {k: (sum(r["n_turns"] for r in v), "".join(r["text"] for r in v), sum(r["loss_chars"] for r in v)) for k, v in got.items()} == whole
-    assert [r["n_turns"] for r in got[(None, "ann", 0)]] == [256, 256, 256, 132]
-    for r in got[(1, "bob", 0)]:
-        said = [r["text"][int(a) : int(b)] for a, b in (x.split(":") for x in r["mask"].split(",") if x)]
-        assert sum(map(len, said)) == r["loss_chars"] and all(x.endswith(chat_format.END) and "<|" not in x[: -len(chat_format.END)] for x in said)
+        got.setdefault((r["conv_id"], r["speaker"]), []).append(r)
+    assert [len(got[k]) for k in ((None, "ann"), (1, "unknown"), (2, "bob"), (3, "ann"), (4, "ann"))] == [3, 3, 1, 1, 2] and got[(3, "ann")][0]["n_turns"] == 700
+    whole = {(c, s): t for c, s, _, _, _, t, _, _ in duck(tmp_path).sql(chat_format.SQL_OP4.replace("1024", "1000000")).fetchall()}
+    for k, parts in got.items():
+        text = "".join(r["text"] for r in parts)
+        assert text == whole[k] and all(text.startswith(r["text"], r["start"]) for r in parts)
+        said = [text[int(a) : int(b)] for r in parts for a, b in (x.split(":") for x in r["mask"].split(",") if x)]
+        assert sum(map(len, said)) == sum(r["loss_chars"] for r in parts) and all(x.endswith(chat_format.END) and "<|" not in x[: -len(chat_format.END)] for x in said)
 
 
 def test_mixing(spark):
