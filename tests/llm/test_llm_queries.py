@@ -429,19 +429,40 @@ def test_toxicity_held_out(spark):
 
 
 def test_shards(spark, tmp_path):
+    """Round trip of every document, resumed reading, and the same files when written again."""
     for n in (1, 2, 5, 64, 1000):
         assert sorted(training_order.feistel(np.arange(n), n).tolist()) == list(range(n))
     docs = common.table(spark, SF, "documents").repartition(3)
+    docs = docs.unionByName(docs.limit(1).selectExpr("-1l doc_id", "repeat(text, 50) text", "lang", "source", "n_chars"))
+    docs = common.written(docs, "docs")
     uri = f"file://{tmp_path}/shards"
-    rows = training_order.materialise(docs, uri, shard_docs=64, row_tokens=128).collect()
+    index = training_order.materialise(docs, uri, shard_rows=64, row_tokens=128)
+    rows = index.collect()
     texts = {r["doc_id"]: r["text"] for r in docs.collect()}
-    assert sorted(r["slot"] for r in rows) == list(range(len(texts)))
-    import tiktoken
-
-    encode = training_order.encoder(training_order.TOKENIZER)
+    with open(training_order.TOKENIZER, "rb") as f:
+        encode = training_order.encoder(f.read())
+    m = training_order.manifest(uri)
+    whole = list(training_order.read_sequences(uri))
+    assert len(rows) == len(texts) and len(whole) == m["sequences"] and m["shards"] == -(-m["sequences"] // 64)
     for r in rows:
-        ids = training_order.read_sequence(uri, r["shard"], r["row"], r["place"], r["n_tokens"], 128)
-        assert ids[-1] == training_order.END and (ids[:-1] == encode(texts[r["doc_id"]])).all() and r["shard"] == r["slot"] // 64
-    assert tiktoken and all(p.stat().st_size % 256 == 0 for p in (tmp_path / "shards").glob("shard-*.bin"))
-    again = training_order.materialise(docs, uri, shard_docs=64, row_tokens=128).collect()
-    assert len(again) == len(rows) and not list((tmp_path / "shards").glob(".shard-*"))
+        ids = training_order.read_document(uri, r["seq"], r["place"], r["n_tokens"])
+        assert ids[-1] == training_order.END and (ids[:-1] == encode(texts[r["doc_id"]])).all() and (r["shard"], r["row"]) == divmod(r["slot"], 64)
+    # every sequence has one slot, and reading goes on from any of them
+    tokens = sum(r["n_tokens"] for r in rows)
+    assert 0 <= len(whole) * 128 - tokens < 128 * docs.rdd.getNumPartitions() and sum(int((x == training_order.PAD).sum()) for x in whole) == len(whole) * 128 - tokens + len(rows)
+    for s in (0, 63, 64, m["sequences"] - 1):
+        assert all((a == b).all() for a, b in zip(training_order.read_sequences(uri, s), whole[s:], strict=True))
+    before = {p.name: p.read_bytes() for p in (tmp_path / "shards").glob("shard-*.bin")}
+    (tmp_path / "shards" / "shard-000000000.bin").unlink()
+    again = training_order.materialise(docs, uri, shard_rows=64, row_tokens=128)
+    assert sorted(map(tuple, again.collect())) == sorted(map(tuple, rows)) and not list((tmp_path / "shards").glob(".shard-*"))
+    assert {p.name: p.read_bytes() for p in (tmp_path / "shards").glob("shard-*.bin")} == before
+
+
+def test_few_tasks_write_many_shards(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(training_order, "TASKS", 2)
+    uri = f"file://{tmp_path}/few"
+    training_order.materialise(common.table(spark, SF, "documents"), uri, shard_rows=8, row_tokens=64, tokenizer=None)
+    m = training_order.manifest(uri)
+    sizes = [p.stat().st_size // 128 for p in sorted((tmp_path / "few").glob("shard-*.bin"))]
+    assert len(sizes) == m["shards"] > 20 and set(sizes[:-1]) == {8} and sum(sizes) == m["sequences"] == len(list(training_order.read_sequences(uri)))
