@@ -2,8 +2,8 @@
 
 Words are runs of letters. Features of a word: itself (the lexicon), its affixes and its trigrams (in UTF-8), hashed
 into 2**BITS rows of weights; transitions are learned with them. Training sequences are made by joining runs of words from texts of different languages, so that switches are seen. The gradient is that of the
-conditional likelihood (forward-backward expectations); inference labels each word by forward-backward in stretches of STRETCH words,
-each run with OVERLAP words of context on either side, by which the chain has forgotten where it began. A text's
+conditional likelihood (forward-backward expectations). Inference labels each word by forward-backward over the whole text: stretches of STRETCH words are worked on side by
+side, after the product of each one's steps has carried what stands before and behind it to its borders, so the posteriors are those of the undivided chain. A text's
 language has the largest sum of word posteriors; score is the mean posterior of that language.
 
 The model is fitted on the driver on at most TRAIN_ROWS rows: those with the least hashes of doc_id among
@@ -26,7 +26,9 @@ from pyspark.sql import functions as F
 
 from .common import held_out, table
 
-TRAIN_ROWS, BITS, STRETCH, OVERLAP = 2000, 18, 256, 32
+TRAIN_ROWS, BITS, STRETCH = 2000, 18, 256
+#: Words that training sees at least; smaller samples are gone through several times, at most PASSES.
+TRAIN_WORDS, PASSES = 100_000, 20
 WORD = re.compile(r"[^\W\d_]+")
 UNKNOWN = "und"
 
@@ -42,22 +44,24 @@ def features(word: str) -> list[int]:
     return out
 
 
-def posteriors(emit: np.ndarray, trans: np.ndarray, length: np.ndarray, pairs: bool = False):
-    """Posteriors of rows of words: emit (rows, places, labels), trans (labels, labels), length of each row; and the summed pair posteriors."""
+def posteriors(emit: np.ndarray, trans: np.ndarray, length: np.ndarray, pairs: bool = False, before: np.ndarray | None = None, after: np.ndarray | None = None):
+    """Posteriors of rows of words: emit (rows, places, labels), trans (labels, labels), length of each row; and the summed pair posteriors.
+    before, after (rows, labels): what the words before and behind a row say about its first and its last word; none: nothing."""
     rows, places, k = emit.shape
     t = np.exp(trans)
     e = np.exp(emit - emit.max(-1, keepdims=True))
     on = (np.arange(places)[None, :] < length[:, None])[..., None]
     e = np.where(on, e, 1.0)
     ahead = np.empty((places, rows, k))
-    a = e[:, 0] / e[:, 0].sum(-1, keepdims=True)
+    a = e[:, 0] if before is None else e[:, 0] * before
+    a = a / a.sum(-1, keepdims=True)
     ahead[0] = a
     for i in range(1, places):
         b = (a @ t) * e[:, i]
         b /= b.sum(-1, keepdims=True)
         a = np.where(on[:, i], b, a)
         ahead[i] = a
-    back = np.ones((rows, k)) / k
+    back = np.ones((rows, k)) / k if after is None else after
     post = np.empty((places, rows, k))
     expected = np.zeros((k, k))
     for i in range(places - 1, -1, -1):
@@ -76,6 +80,20 @@ def posteriors(emit: np.ndarray, trans: np.ndarray, length: np.ndarray, pairs: b
     return (post, expected) if pairs else post
 
 
+def products(emit: np.ndarray, trans: np.ndarray, length: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """The product of the steps of each row, up to a factor: (rows, labels of the word before it, labels of its last word). starts: rows with no word before them."""
+    rows, places, k = emit.shape
+    t = np.exp(trans)
+    e = np.exp(emit - emit.max(-1, keepdims=True))
+    m = np.broadcast_to(np.eye(k), (rows, k, k)).copy()
+    for i in range(places):
+        on = i < length
+        b = m[on] @ t if i else np.where(starts[on, None, None], m[on], m[on] @ t)
+        b = b * e[on, i][:, None, :]
+        m[on] = b / b.sum((1, 2), keepdims=True)
+    return m
+
+
 def fit(texts: list[str], langs: list[str], seed: int = 8, places: int = 48, batch: int = 48, rate: float = 0.2) -> dict:
     """Weights of the chain from texts of one language each."""
     labels = sorted(set(langs))
@@ -91,30 +109,36 @@ def fit(texts: list[str], langs: list[str], seed: int = 8, places: int = 48, bat
             n = int(rng.integers(3, 30))
             runs.append((ws[i : i + n], labels.index(lang)))
             i += n
-    rng.shuffle(runs)
-    words = [w for r, _ in runs for w in r]
-    gold = np.array([y for r, y in runs for _ in r], np.int64)
-    n = len(words) // places
-    for lo in range(0, n, batch):
-        m = min(batch, n - lo)
-        part = words[lo * places : (lo + m) * places]
-        y = gold[lo * places : (lo + m) * places].reshape(m, places)
-        feats = [known.get(w) or known.setdefault(w, features(w)) for w in part]
-        flat = np.concatenate([np.asarray(f) for f in feats])
-        at = np.concatenate([[0], np.cumsum([len(f) for f in feats])[:-1]])
-        emit = np.add.reduceat(weights[flat], at).reshape(m, places, k)
-        post, pair = posteriors(emit, trans, np.full(m, places), pairs=True)
-        diff = (np.eye(k)[y] - post).reshape(-1, k)
-        seen = np.zeros((k, k))
-        np.add.at(seen, (y[:, :-1].ravel(), y[:, 1:].ravel()), 1)
-        each = np.repeat(diff, np.diff(np.append(at, len(flat))), axis=0)
-        keys, inv = np.unique(flat, return_inverse=True)
-        g = np.stack([np.bincount(inv, each[:, c], len(keys)) for c in range(k)], 1) - 1e-4 * weights[keys]
-        gw[keys] += g * g
-        weights[keys] += rate * g / np.sqrt(gw[keys])
-        g = (seen - pair) / m
-        gt += g * g
-        trans += rate * g / np.sqrt(gt)
+    n_words = sum(len(r) for r, _ in runs)
+    for _ in range(min(PASSES, max(1, -(-TRAIN_WORDS // max(1, n_words))))):
+        rng.shuffle(runs)
+        words = [w for r, _ in runs for w in r]
+        gold = np.array([y for r, y in runs for _ in r], np.int64)
+        for lo in range(0, len(words), batch * places):
+            part = words[lo : lo + batch * places]
+            m = -(-len(part) // places)
+            size = np.full(m, places)
+            size[-1] = len(part) - (m - 1) * places
+            y = np.zeros((m, places), np.int64)
+            y.ravel()[: len(part)] = gold[lo : lo + len(part)]
+            feats = [known.get(w) or known.setdefault(w, features(w)) for w in part]
+            flat = np.concatenate([np.asarray(f) for f in feats])
+            at = np.concatenate([[0], np.cumsum([len(f) for f in feats])[:-1]])
+            emit = np.zeros((m * places, k))
+            emit[: len(part)] = np.add.reduceat(weights[flat], at)
+            post, pair = posteriors(emit.reshape(m, places, k), trans, size, pairs=True)
+            diff = (np.eye(k)[y] - post).reshape(-1, k)[: len(part)]
+            seen = np.zeros((k, k))
+            inner = (np.arange(1, places)[None, :] < size[:, None]).ravel()
+            np.add.at(seen, (y[:, :-1].ravel()[inner], y[:, 1:].ravel()[inner]), 1)
+            each = np.repeat(diff, np.diff(np.append(at, len(flat))), axis=0)
+            keys, inv = np.unique(flat, return_inverse=True)
+            g = np.stack([np.bincount(inv, each[:, c], len(keys)) for c in range(k)], 1) - 1e-4 * weights[keys]
+            gw[keys] += g * g
+            weights[keys] += rate * g / np.sqrt(gw[keys])
+            g = (seen - pair) / m
+            gt += g * g
+            trans += rate * g / np.sqrt(gt)
     return {"labels": labels, "weights": weights.astype(np.float32), "trans": trans}
 
 
@@ -153,22 +177,49 @@ class Labeller:
         at = self.at
         ids = np.fromiter((at[w] for ws in words for w in ws), np.int64, int(first[-1]))
         emit = self.emit[ids]
-        begin, ends, kept_from = [], [], []
-        for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True):
-            for s in range(a, b, STRETCH):
-                begin.append(max(a, s - OVERLAP))
-                ends.append(min(b, s + STRETCH + OVERLAP))
-                kept_from.append(s)
         out = np.zeros((len(ids), self.k), np.float32)
-        begin, ends, kept_from = np.array(begin, np.int64), np.array(ends, np.int64), np.array(kept_from, np.int64)
-        order = np.argsort(ends - begin)
-        for lo in range(0, len(order), 512):
-            r = order[lo : lo + 512]
-            n = ends[r] - begin[r]
-            at = begin[r][:, None] + np.arange(n.max())[None, :]
-            post = posteriors(emit[np.minimum(at, len(ids) - 1)].astype(np.float64), self.m["trans"], n)
-            mine = (at >= kept_from[r][:, None]) & (at < np.minimum(kept_from[r] + STRETCH, ends[r])[:, None])
-            out[at[mine]] = post[mine]
+        sizes = np.diff(first)
+        count = -(-sizes // STRETCH)  # stretches of each text
+        f = np.cumsum(count) - count
+        nth = np.arange(int(count.sum())) - np.repeat(f, count)
+        begin = np.repeat(first[:-1], count) + nth * STRETCH
+        length = np.minimum(np.repeat(first[1:], count) - begin, STRETCH)
+        t = np.exp(self.m["trans"])
+
+        def words_at(r: np.ndarray) -> np.ndarray:
+            return begin[r][:, None] + np.arange(length[r].max())[None, :]
+
+        def emissions(r: np.ndarray) -> np.ndarray:
+            return emit[np.minimum(words_at(r), len(ids) - 1)].astype(np.float64)
+
+        def runs(r: np.ndarray) -> Iterator[np.ndarray]:
+            r = r[np.argsort(length[r], kind="stable")]
+            for lo in range(0, len(r), 512):
+                yield r[lo : lo + 512]
+
+        before, after = np.ones((len(begin), self.k)), np.ones((len(begin), self.k)) / self.k
+        long_ = np.flatnonzero(count > 1)
+        if len(long_):
+            step = np.empty((len(begin), self.k, self.k))
+            for r in runs(np.flatnonzero(np.repeat(count > 1, count))):
+                step[r] = products(emissions(r), self.m["trans"], length[r], nth[r] == 0)
+            most = int(count.max())
+            ahead = np.empty_like(before)
+            ahead[f[long_]] = step[f[long_]].sum(1)
+            ahead[f[long_]] /= ahead[f[long_]].sum(-1, keepdims=True)
+            for j in range(1, most):
+                r = f[long_[count[long_] > j]] + j
+                before[r] = ahead[r - 1] @ t
+                a = np.einsum("rk,rkl->rl", ahead[r - 1], step[r])
+                ahead[r] = a / a.sum(-1, keepdims=True)
+            for j in range(most - 1, 0, -1):
+                r = f[long_[count[long_] > j]] + j
+                b = np.einsum("rkl,rl->rk", step[r], after[r])
+                after[r - 1] = b / b.sum(-1, keepdims=True)
+        for r in runs(np.arange(len(begin))):
+            at = words_at(r)
+            mine = np.arange(at.shape[1])[None, :] < length[r][:, None]
+            out[at[mine]] = posteriors(emissions(r), self.m["trans"], length[r], before=before[r], after=after[r])[mine]
         if len(self.at) > self.KEEP:
             self.clear()
         return out, first

@@ -296,16 +296,31 @@ def test_languages_held_out(spark):
     assert len(rows) > 100 and np.mean([r["lang"] == r["lang_pred"] for r in rows]) > 0.97 and all(0 <= r["score"] <= 1 for r in rows)
 
 
-def test_code_switching_and_stretches():
-    model = {"labels": ["a", "b"], "weights": np.zeros((1 << lid.BITS, 2), np.float32), "trans": np.array([[1.0, -1.0], [-1.0, 1.0]])}
-    for w, k in (("one", 0), ("zwei", 1)):
+def test_code_switching_over_stretches():
+    """Long texts, worked on in stretches, have the posteriors of the undivided chain."""
+    rng = np.random.default_rng(9)
+    model = {"labels": ["a", "b", "c"], "weights": np.zeros((1 << lid.BITS, 3), np.float32), "trans": rng.normal(size=(3, 3)) * 2 + 3 * np.eye(3)}
+    for w, k in (("one", 0), ("zwei", 1), ("trois", 2)):
         model["weights"][lid.features(w), k] = 0.3
     by = lid.Labeller(model)
-    words = ["one"] * 300 + ["zwei"] * 500 + ["other"] * 700
-    post, first = by.word_posteriors([words, [], ["zwei"]])
-    whole = lid.posteriors(by.emit[[by.at[w] for w in words]][None].astype(float), model["trans"], np.array([len(words)]))[0]
-    assert np.abs(post[: len(words)] - whole).max() < 1e-3 and first.tolist() == [0, 1500, 1500, 1501]
-    assert post[:290].argmax(1).max() == 0 and post[310:790].argmax(1).min() == 1
+    texts = [["one"] * 300 + ["zwei"] * 500 + ["other"] * 2700, [], ["zwei"], ["other"] * 1000 + ["trois"], list(rng.choice(["one", "zwei", "other"], 256)), list(rng.choice(["one", "trois", "other"], 513))]
+    post, first = by.word_posteriors(texts)
+    assert first.tolist() == np.cumsum([0, *map(len, texts)]).tolist()
+    for i, words in enumerate(texts):
+        if words:
+            whole = lid.posteriors(by.emit[[by.at[w] for w in words]][None].astype(float), model["trans"], np.array([len(words)]))[0]
+            assert np.abs(post[first[i] : first[i + 1]] - whole).max() < 1e-6
+    by = lid.Labeller(model | {"trans": 2 * np.eye(3) - 1})
+    post = by.word_posteriors(texts[:1])[0]
+    assert post[:290].argmax(1).max() == 0 and post[310:790].argmax(1).min() == 1 == post[310:790].argmax(1).max()
+
+
+def test_fit_learns_from_few_words():
+    texts, langs = ["the cat sat on the mat", "der hund lag auf dem bett"], ["en", "de"]
+    by = lid.Labeller(lid.fit(texts, langs))
+    assert by.texts(["the cat on the mat", "der hund auf dem bett", "12 ?", None])[0] == ["en", "de", "und", "und"]
+    assert lid.Labeller(lid.fit(["ein wort"], ["de"])).texts(["wort"]) == (["de"], [1.0])
+    assert lid.Labeller(lid.fit([], [])).texts(["wort"]) == (["und"], [0.0])
 
 
 def test_gradient_expectations():
