@@ -7,8 +7,9 @@ membership for every key of the universe: the number of levels that said yes is
 
 Keys are distinct and dealt into shards by a hash, so shards are even, and about SHARD_KEYS keys each. The cascade of a
 shard is built in one task of bounded size. If all cascades together are at most BROADCAST_BYTES, they are
-broadcast and pages are judged as they are read; beyond that, the distinct keys are judged beside
-their shard's cascade and only listed keys go back to the pages.
+broadcast and pages are judged as they are read. Beyond that they are files in the shared folder, and pages, in the order of their shard and
+dealt evenly by range however many have one host, are judged by the cascades that a task opens one after another: no page is joined with anything.
+Only to build the cascades the distinct hosts meet the listed keys.
 
 Defined cases: a null url, or one without "://", has an empty host and path, which no rule fits and no list holds, so it is
 allowed; equal urls get equal verdicts; an empty list allows all; extra columns are ignored.
@@ -17,15 +18,17 @@ allowed; equal urls get equal verdicts; an empty list allows all; extra columns
 from __future__ import annotations
 
 import struct
-from collections.abc import Iterator
+import uuid
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, mix, table, written
+from .common import ascii_lower, mix, remove, scratch_dir, table, written
 
 #: (verdict, host, path); a rule fits its host and all subdomains if the url's path starts with its own.
 RULES = (("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/"))
@@ -111,47 +114,84 @@ def cascades(universe: DataFrame, shards: int) -> DataFrame:
     return _hashes(universe, "key", shards).select("shard", "h1", "h2", "listed").groupBy("shard").applyInPandas(make, "shard long, cascade binary")
 
 
-def listed_keys(keys: DataFrame, made: DataFrame, shards: int) -> DataFrame:
-    """Distinct keys beside the cascade of their shard: (key, listed)."""
+def _store(uri: str):
+    def store(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, root = fs.FileSystem.from_uri(uri)
+        for b in batches:
+            for shard, cascade in zip(b.column("shard").to_pylist(), b.column("cascade").to_pylist(), strict=True):
+                own = f"{root}/.{shard}-{uuid.uuid4().hex}"
+                with at.open_output_stream(own) as f:
+                    f.write(cascade)
+                at.move(own, f"{root}/{shard}")
+            yield pa.RecordBatch.from_arrays([b.column("shard")], names=["shard"])
 
-    def judge(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        if left.empty or right.empty:
-            return pd.DataFrame({"key": left["key"], "listed": False})
-        as_u = lambda c: left[c].to_numpy(np.int64).view(np.uint64)
-        return pd.DataFrame({"key": left["key"], "listed": ask(right["cascade"].iloc[0], as_u("h1"), as_u("h2"))})
+    return store
 
-    return _hashes(keys, "key", shards).groupBy("shard").cogroup(made.groupBy("shard")).applyInPandas(judge, "key string, listed boolean")
 
+def _judge(cascade: Callable[[int], bytes | None]):
+    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            h1, h2 = (np.asarray(b.column(c)).astype(np.int64).view(np.uint64) for c in ("h1", "h2"))
+            shard, hit = np.asarray(b.column("shard")), np.zeros(b.num_rows, bool)
+            for s in np.unique(shard).tolist():
+                if (blob := cascade(s)) is not None:
+                    i = np.flatnonzero(shard == s)
+                    hit[i] = ask(blob, h1[i], h2[i])
+            yield pa.RecordBatch.from_arrays([*[b.column(c) for c in ("page_id", "host", "path", "rule", "said")], pa.array(hit)], names=["page_id", "host", "path", "rule", "said", "hit"])
 
-def filter_urls(pages: DataFrame, listed, url: str = "url", page_id: str = "page_id", rules=RULES, broadcast_bytes: int = BROADCAST_BYTES, shard_keys: int = SHARD_KEYS) -> DataFrame:
-    """page_id, host, path, rule, verdict and by (rule or list) of every row of pages. listed: a function from the host column to whether it is listed (null counts as not)."""
+    return judge
+
+
+def _opened(uri: str) -> Callable[[int], bytes | None]:
+    """The cascade of a shard from its file; the last one is kept."""
+    kept: dict[int, bytes] = {}
+
+    def cascade(shard: int) -> bytes:
+        if shard not in kept:
+            at, root = fs.FileSystem.from_uri(uri)
+            with at.open_input_stream(f"{root}/{shard}") as f:
+                kept.clear()
+                kept[shard] = f.read()
+        return kept[shard]
+
+    return cascade
+
+
+def filter_urls(
+    pages: DataFrame, listed: DataFrame | Callable[[Column], Column], url: str = "url", page_id: str = "page_id", rules=RULES, broadcast_bytes: int = BROADCAST_BYTES, shard_keys: int = SHARD_KEYS
+) -> DataFrame:
+    """page_id, host, path, rule, verdict and by (rule or list) of every row of pages. listed: a table of listed hosts (its column key; null is
+    none), or a function from the host column to whether it is listed (null counts as not)."""
     spark = pages.sparkSession
     host, path = host_and_path(F.col(url))
     rows = pages.select(F.col(page_id).alias("page_id"), host.alias("host"), path.alias("path"))
-    universe = written(rows.select(F.col("host").alias("key")).distinct().select("key", F.coalesce(listed(F.col("key")), F.lit(False)).alias("listed")), "url-keys")
+    hosts = rows.select(F.col("host").alias("key")).distinct()
+    if isinstance(listed, DataFrame):
+        on_list = listed.select("key").filter(F.col("key").isNotNull()).distinct().withColumn("listed", F.lit(True))
+        universe = hosts.join(on_list, "key", "left").select("key", F.coalesce("listed", F.lit(False)).alias("listed"))
+    else:
+        universe = hosts.select("key", F.coalesce(listed(F.col("key")), F.lit(False)).alias("listed"))
+    universe = written(universe, "url-keys")
     shards = max(1, -(-universe.count() // shard_keys))
     made = written(cascades(universe, shards), "url-cascades")
+    remove(universe)
     rule, verdict = rule_of(F.col("host"), F.col("path"), rules)
-    rows = rows.withColumns({"rule": rule, "said": verdict})
+    rows = _hashes(rows.withColumns({"rule": rule, "said": verdict}), "host", shards)
+    out = f"page_id {dict(rows.dtypes)['page_id']}, host string, path string, rule string, said string, hit boolean"
     if (made.agg(F.sum(F.length("cascade"))).first()[0] or 0) <= broadcast_bytes:
         sent = spark.sparkContext.broadcast({r["shard"]: bytes(r["cascade"]) for r in made.toLocalIterator()})
-
-        def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                h1, h2 = (np.asarray(b.column(c)).astype(np.int64).view(np.uint64) for c in ("h1", "h2"))
-                shard, hit = np.asarray(b.column("shard")), np.zeros(b.num_rows, bool)
-                for s in np.unique(shard):
-                    if s in sent.value:
-                        i = np.flatnonzero(shard == s)
-                        hit[i] = ask(sent.value[s], h1[i], h2[i])
-                yield pa.RecordBatch.from_arrays([*[b.column(c) for c in ("page_id", "host", "path", "rule", "said")], pa.array(hit)], names=["page_id", "host", "path", "rule", "said", "hit"])
-
-        kind = dict(rows.dtypes)["page_id"]
-        out = _hashes(rows, "host", shards).mapInArrow(judge, f"page_id {kind}, host string, path string, rule string, said string, hit boolean")
+        judged = rows.mapInArrow(_judge(lambda s: sent.value.get(s)), out)
+        remove(made)
     else:
-        hits = listed_keys(universe.select("key"), made, shards).filter("listed").select(F.col("key").alias("host"), F.lit(True).alias("hit"))
-        out = rows.join(hits, "host", "left").withColumn("hit", F.coalesce("hit", F.lit(False)))
-    return out.select(
+        uri = f"{scratch_dir(spark)}/url-shards-{uuid.uuid4().hex}"
+        at, root = fs.FileSystem.from_uri(uri)
+        at.create_dir(root, recursive=True)
+        remove(written(made.mapInArrow(_store(uri), "shard long"), "url-stored"))
+        remove(made)
+        n = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+        dealt = rows.withColumn("spread", F.xxhash64("page_id", "path")).repartitionByRange(n, "shard", "spread").sortWithinPartitions("shard")
+        judged = dealt.mapInArrow(_judge(_opened(uri)), out)
+    return judged.select(
         "page_id", "host", "path", "rule", F.coalesce("said", F.when(F.col("hit"), "block").otherwise("allow")).alias("verdict"), F.when(F.col("rule").isNull(), "list").otherwise("rule").alias("by")
     )
 
@@ -161,7 +201,9 @@ def label_listed(host: Column) -> Column:
 
 
 def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return filter_urls(table(spark, sf_dir, "pages"), label_listed)
+    pages = table(spark, sf_dir, "pages")
+    hosts = pages.select(host_and_path(F.col("url"))[0].alias("key")).distinct()
+    return filter_urls(pages, hosts.filter(label_listed(F.col("key"))))
 
 
 SQL_OP2 = r"""

@@ -6,6 +6,7 @@ import re
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from quartzgraph.llm import common, components, near_dedup, queries, secrets, toxicity, training_order, url_filter
 from quartzgraph.llm import language_id as lid
@@ -150,7 +151,11 @@ def test_cascade_is_exact(spark):
     a = url_filter.filter_urls(pages, url_filter.label_listed)
     b = url_filter.filter_urls(pages, url_filter.label_listed, broadcast_bytes=0, shard_keys=7)
     c = url_filter.filter_urls(pages, url_filter.label_listed, shard_keys=7)
-    assert sorted(map(str, a.collect())) == sorted(map(str, b.collect())) == sorted(map(str, c.collect()))
+    keys = pages.select(url_filter.host_and_path(pages.url)[0].alias("key")).filter(url_filter.label_listed(F.col("key"))).unionByName(spark.createDataFrame([(None,), ("not.there",)], "key string"))
+    d = url_filter.filter_urls(pages, keys)
+    e = url_filter.filter_urls(pages, keys, broadcast_bytes=0, shard_keys=50)
+    assert sorted(map(str, a.collect())) == sorted(map(str, b.collect())) == sorted(map(str, c.collect())) == sorted(map(str, d.collect())) == sorted(map(str, e.collect()))
+    assert "Join" not in b._jdf.queryExecution().optimizedPlan().toString()
 
 
 def brute_near(texts):
