@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..graph import Graph
-from ..plans.ordinal import numbered
+from ..plans.ordinal import in_order, numbered
 
 
 def degrees(g: Graph) -> DataFrame:
@@ -59,6 +59,20 @@ def vertex_offsets(g: Graph) -> DataFrame:
     return at.select(F.col("u").alias("id"), "first", "last")
 
 
+def csr_offsets(g: Graph) -> DataFrame:
+    """(id, off) for ids 0..n: where each vertex's edges begin, isolated ones too, and at n the number of edges."""
+    d = g.vertices.join(g.degrees.withColumnRenamed("u", "id"), "id", "left").select("id", F.coalesce("d", F.lit(0)).alias("d"))
+    rows = in_order(d, ["id"], "csr").withColumn("__part", F.shiftright("__pos", 33))
+    first, m = [], 0
+    for p, s in sorted(rows.groupBy("__part").agg(F.sum("d")).collect()):  # one row for each partition of the sort
+        first.append((p, m))
+        m += s
+    starts = F.broadcast(g.spark.createDataFrame(first or [(0, 0)], "__part long, __first long"))
+    own = Window.partitionBy("__part").orderBy("id").rowsBetween(Window.unboundedPreceding, -1)
+    at = rows.join(starts, "__part").select("id", (F.col("__first") + F.coalesce(F.sum("d").over(own), F.lit(0))).alias("off"))
+    return at.union(g.spark.createDataFrame([(g.n, m)], "id long, off long"))
+
+
 def two_hop(g: Graph, of: DataFrame | None = None) -> DataFrame:
     """(id, nbr): distinct neighbours of neighbours, the vertex itself among them, for vertices (id) or all."""
     a = g.edges if of is None else g.edges.join(of.select(F.col("id").alias("u")), "u", "left_semi")

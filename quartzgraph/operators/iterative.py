@@ -7,12 +7,12 @@ from pyspark.sql import functions as F
 
 from ..graph import Graph
 from ..plans.fixpoint import rounds, until
-from ..plans.scratch import written
+from ..plans.scratch import laid_out
 
 
 def _sending(g: Graph) -> DataFrame:
-    """(u, v, share): edges with 1 / degree of the sender, worked out once."""
-    return written(g.edges.join(g.degrees, "u").select("u", "v", (F.lit(1.0) / F.col("d")).alias("share")), "sending")
+    """(u, v, share): edges with 1 / degree of the sender, worked out once and dealt by sender, so that a round moves only what vertices send."""
+    return laid_out(g.edges.join(g.degrees, "u").select("u", "v", (F.lit(1.0) / F.col("d")).alias("share")), "u", "sending")
 
 
 def _received(edges: DataFrame, state: DataFrame, p: str = "p") -> DataFrame:

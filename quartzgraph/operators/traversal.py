@@ -11,6 +11,7 @@ from ..plans.ordinal import in_order
 from ..plans.scratch import written
 
 UNREACHED_LEVEL, UNREACHED_DISTANCE, SOURCE_PARENT = 2**31 - 1, (2**31 - 1) // 2, -1
+COMPACT = 16
 
 
 def _relax(g: Graph, w: DataFrame, source: int, far: int, each=None) -> DataFrame:
@@ -51,6 +52,11 @@ def sssp_workload(g: Graph, pid: DataFrame, source: int = 0) -> DataFrame:
     return out.groupBy("pid").agg(F.sum("n").alias("relaxations"))
 
 
+def workload_balance(work: DataFrame) -> DataFrame:
+    """(max_work, min_work, ratio) of what sssp_workload gives; ratio is null where a partition relaxes nothing."""
+    return work.agg(F.max("relaxations").alias("max_work"), F.min("relaxations").alias("min_work")).withColumn("ratio", F.try_divide("max_work", "min_work"))
+
+
 def bfs_parents(g: Graph, source: int = 0) -> DataFrame:
     """(id, lev, par) of reached vertices, par as a queue would have it: the neighbour that was dequeued first; -1 for the source.
 
@@ -58,12 +64,14 @@ def bfs_parents(g: Graph, source: int = 0) -> DataFrame:
     """
     front = g.spark.range(1).select(F.lit(source).cast("long").alias("id"), F.lit(0).cast("long").alias("lev"), F.lit(SOURCE_PARENT).cast("long").alias("par"), F.lit(0).cast("long").alias("pos"))
     front = written(front, "bfs")
-    seen = front
+    seen, tables = front, 1
     while front.limit(1).count():
         reached = front.join(g.edges, F.col("id") == F.col("u")).groupBy("v").agg(F.min(F.struct("pos", "id")).alias("p"), F.max("lev").alias("lev"))
         new = reached.join(seen.select(F.col("id").alias("v")), "v", "left_anti").select(F.col("v").alias("id"), (F.col("lev") + 1).alias("lev"), F.col("p.id").alias("par"), F.col("p.pos").alias("pp"))
         front = in_order(new, ["pp", "id"], "bfs").select("id", "lev", "par", F.col("__pos").alias("pos"))
-        seen = seen.union(front)
+        seen, tables = seen.union(front), tables + 1
+        if tables == COMPACT:  # what has been seen stays a few tables, however deep the search
+            seen, tables = written(seen, "bfs-seen"), 1
     return seen.select("id", "lev", "par")
 
 

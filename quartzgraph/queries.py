@@ -1,6 +1,7 @@
 """One query for each operator, over graphs that the tables hold, and the SQL that gives the same rows.
 
-Graphs: ps (lineitem: part, supplier), oc (orders: order, customer), ue (events: user, event folded onto the users).
+Graphs: ps (lineitem: part, supplier), oc (orders: order, customer), ue (events: user, event folded onto the users), ev (events: user, event, both
+times three: most vertices are isolated, many have one neighbour, and not all can be reached).
 """
 
 from __future__ import annotations
@@ -16,11 +17,13 @@ PARTS = 4
 
 
 def graph(spark: SparkSession, sf_dir: str, name: str = "ps") -> Graph:
-    t = {"ps": ("lineitem", "l_partkey", "l_suppkey"), "oc": ("orders", "o_orderkey", "o_custkey"), "ue": ("events", "user_id", "event_id")}[name]
+    t = {"ps": ("lineitem", "l_partkey", "l_suppkey"), "oc": ("orders", "o_orderkey", "o_custkey"), "ue": ("events", "user_id", "event_id"), "ev": ("events", "user_id", "event_id")}[name]
     df = spark.read.parquet(f"{sf_dir}/{t[0]}.parquet")
     if name == "ue":
         users = df.agg(F.max("user_id")).first()[0] + 1
         df = df.select("user_id", (F.col("event_id") % users).alias("event_id"))
+    if name == "ev":
+        df = df.select((F.col("user_id") * 3).alias("user_id"), (F.col("event_id") * 3).alias("event_id"))
     return Graph.from_pairs(df, t[1], t[2])
 
 
@@ -188,7 +191,17 @@ def friend_triangle(g):
 
 @_of("ps")
 def jaccard(g):
-    return _round(similarity.jaccard(g, g.vertices.filter("id % 50 = 0")), "jac")
+    return _round(similarity.jaccard(g, g.vertices.filter("id % 50 = 0"), g.vertices), "jac")
+
+
+@_of("ps")
+def jaccard_partitioned(g):
+    return _round(similarity.jaccard(g.partitioned(_pid(g)), g.vertices.filter("id % 50 = 0"), g.vertices), "jac")
+
+
+@_of("ps")
+def lcc_partitioned(g):
+    return _round(similarity.clustering(g.partitioned(_pid(g))), "lcc")
 
 
 @_of("ps")
@@ -224,6 +237,11 @@ def sssp_workload(g):
     return traversal.sssp_workload(g.with_weights(), _pid(g))
 
 
+@_of("ps")
+def sssp_workload_balance(g):
+    return _round(traversal.workload_balance(traversal.sssp_workload(g.with_weights(), _pid(g))), "ratio")
+
+
 # --- vertex programs
 
 
@@ -257,6 +275,54 @@ def mis(g):
     return iterative.independent_set(g)
 
 
+# --- the same over a graph with isolated, lonely and unreached vertices
+
+
+@_of("ev")
+def csr_offsets(g):
+    return access.csr_offsets(g)
+
+
+@_of("ev")
+def bfs_level_gaps(g):
+    return traversal.bfs_levels(g)
+
+
+@_of("ev")
+def bfs_parent_gaps(g):
+    return traversal.all_parents(g)
+
+
+@_of("ev")
+def sssp_gaps(g):
+    return traversal.sssp(g.with_weights())
+
+
+@_of("ev")
+def lcc_gaps(g):
+    return _round(similarity.clustering(g), "lcc")
+
+
+@_of("ev")
+def pagerank_gaps(g):
+    return _round(iterative.pagerank(g), "p")
+
+
+@_of("ev")
+def cdlp_gaps(g):
+    return iterative.max_labels(g)
+
+
+@_of("ev")
+def kcore_gaps(g):
+    return iterative.core_numbers(g)
+
+
+@_of("ev")
+def mis_gaps(g):
+    return iterative.independent_set(g)
+
+
 # --- partitions
 
 
@@ -307,6 +373,7 @@ _RAW = {
     "ps": "select l_partkey u, l_suppkey v from lineitem",
     "oc": "select o_orderkey u, o_custkey v from orders",
     "ue": "select user_id u, event_id % (select max(user_id) + 1 from events) v from events",
+    "ev": "select user_id * 3 u, event_id * 3 v from events",
 }
 _PRE = """raw as ({raw}),
 e as materialized (select distinct u, v from (select u, v from raw union all select v, u from raw) where u <> v),
@@ -362,9 +429,9 @@ def oracles() -> dict[str, str]:
         "squares_true": (_WEDGE, "select (sum(c * (c - 1) // 2) // 2)::bigint s from (select count(*) c from wd group by p, q)"),
         "friend_triangle": (_CN, "select id root, coalesce(t, 0)::bigint t from vx left join (select e.u, sum(c * (c - 1) // 2) t from e join cn on cn.u = e.u and cn.v = e.v group by e.u) x on x.u = vx.id"),
         "jaccard": (
-            ", q as (select id from vx where id % 50 = 0), f as (select * from e where u % 50 = 0), c as (select a.u i, b.u j, count(*) c from f a join f b on a.v = b.v group by 1, 2)",
+            ", q as (select id from vx where id % 50 = 0), f as (select * from e where u % 50 = 0), c as (select a.u i, b.u j, count(*) c from f a join e b on a.v = b.v group by 1, 2)",
             "select a.id i, b.id j, round(case when da.d is null and db.d is null then 'NaN'::double else coalesce(c, 0) / (coalesce(da.d, 0) + coalesce(db.d, 0) - coalesce(c, 0))::double end, 6) jac "
-            "from q a cross join q b left join dg da on da.u = a.id left join dg db on db.u = b.id left join c on c.i = a.id and c.j = b.id",
+            "from q a cross join vx b left join dg da on da.u = a.id left join dg db on db.u = b.id left join c on c.i = a.id and c.j = b.id",
         ),
         "lcc": (
             _TRI + ", t as (select v, count(*) t from (select a v from tri union all select b from tri union all select c from tri) group by v)",
@@ -380,6 +447,8 @@ def oracles() -> dict[str, str]:
         "weights": (_W, "select u, v, w from w"),
         "query_gen": ("", f"select range qid, {_MIX.format(x='range * 2 + 1000003')} % (select n from n) u, {_MIX.format(x='range * 2 + 1000004')} % (select n from n) v from range((select 2 * n from n))"),
     }
+    one["jaccard_partitioned"], one["lcc_partitioned"], one["lcc_gaps"] = one["jaccard"], one["lcc"], one["lcc"]
+    one["csr_offsets"] = ("", "select id, coalesce(sum(d) over (order by id rows between unbounded preceding and 1 preceding), 0)::bigint off from (select range id from range((select n from n) + 1)) left join dg on dg.u = id")
     for name in ("cn_pairs", "cn_pairs_galloping", "cn_pairs_partitioned"):
         one[name] = (_HITS, "select q.qid, count(x) c from q left join hit using (qid) group by q.qid")
     out = {name: _sql(name, *x) for name, x in one.items()}
@@ -443,5 +512,17 @@ def oracles() -> dict[str, str]:
             "select id, (f = 1)::int in_set from m where it = (select max(it) from m)",
         ),
     }
+    work = (
+        _W + _PIDS,
+        "r(it, id, d, open) as (select 0, id, case when id = 0 then 0 else 1073741823 end::bigint, id = 0 from vx union all select * from (with cur as (select * from r), "
+        "sent as (select w.v id, min(cur.d + w.w) c from cur join w on w.u = cur.id where cur.open group by w.v) "
+        "select cur.it + 1, cur.id, least(cur.d, coalesce(c, cur.d)), coalesce(c < cur.d, false) from cur left join sent using (id) where (select bool_or(open) from cur))), "
+        "work as (select p.pid, coalesce(n, 0)::bigint relaxations from (select distinct pid from pid) p left join (select pid, count(*) n from r join w on w.u = r.id join pid on pid.id = w.v where open group by pid) x using (pid))",
+    )
+    loops["sssp_workload"] = (*work, "select pid, relaxations from work")
+    loops["sssp_workload_balance"] = (*work, "select max(relaxations) max_work, min(relaxations) min_work, round(max(relaxations) / min(relaxations), 6) ratio from work")
+    for name in ("bfs_level", "sssp", "pagerank", "cdlp", "kcore", "mis"):
+        loops[f"{name}_gaps"] = loops[name]
+    loops["bfs_parent_gaps"] = (*loops["bfs_parent"][:2], "select vx.id, coalesce(par, 2147483647)::bigint par from vx left join (select distinct id, par from b) using (id)")
     out |= {name: _sql(name, extra, body, rec) for name, (extra, rec, body) in loops.items()}
     return out

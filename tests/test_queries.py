@@ -14,7 +14,7 @@ def test_same_as_sql(spark, duck, same_rows, name):
 
 
 def test_only_these_have_no_sql():
-    assert set(queries.QUERIES) - set(ORACLES) == {"sssp_workload", "partition_greedy", "partition_greedy2"}
+    assert set(queries.QUERIES) - set(ORACLES) == {"partition_greedy", "partition_greedy2"}
 
 
 def test_entry(spark):
