@@ -6,12 +6,17 @@ times three: most vertices are isolated, many have one neighbour, and not all ca
 
 from __future__ import annotations
 
+import uuid
+
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions.hashing import query_pairs
 from .graph import Graph
 from .operators import access, intersect, iterative, partition, patterns, similarity, traversal
+from .plans.scratch import scratch_dir
+from .sources import files
 
 PARTS = 4
 
@@ -323,6 +328,68 @@ def mis_gaps(g):
     return iterative.independent_set(g)
 
 
+# --- files: what is written is read again
+
+
+def _folder(spark: SparkSession) -> str:
+    at = f"{scratch_dir(spark)}/files-{uuid.uuid4().hex}"
+    store, root = fs.FileSystem.from_uri(at)
+    store.create_dir(root, recursive=True)
+    return at
+
+
+def _mounted(at: str) -> str:
+    """Raw arrays and adjacency texts have one writer, the driver, which needs a mounted folder."""
+    return fs.FileSystem.from_uri(at)[1]
+
+
+@_of("ev")
+def file_edge_list(g):
+    at = _folder(g.spark)
+    files.write_edge_list(g, f"{at}/edges")
+    return files.read_edge_list(g.spark, f"{at}/edges", compat=False).edges
+
+
+@_of("ev")
+def file_edge_list_compat(g):
+    at = _folder(g.spark)
+    files.write_edge_list(g.with_weights(), f"{at}/edges")
+    return files.read_edge_list(g.spark, f"{at}/edges").edges
+
+
+@_of("ev")
+def file_csr(g):
+    at = _mounted(_folder(g.spark))
+    files.write_csr(g.with_weights(), at)
+    return files.read_csr(g.spark, at, weighted=True).edges
+
+
+@_of("ev")
+def file_adjacency(g):
+    at = _folder(g.spark)
+    files.write_adjacency_text(g.with_weights(), f"{_mounted(at)}/graph.adj")
+    return g.spark.read.text(f"{at}/graph.adj").groupBy("value").count()
+
+
+@_of("ev")
+def file_vector(g):
+    at = f"{_mounted(_folder(g.spark))}/degrees.bin"
+    files.write_vector(access.degrees(g).orderBy("id"), "deg", at)
+    return files.read_vector(g.spark, at, step=1000).select(F.col("i").alias("id"), F.col("value").alias("deg"))
+
+
+@_of("ps")
+def file_partition(g):
+    at = _folder(g.spark)
+    files.write_partition(_pid(g), f"{at}/pid")
+    return files.read_partition(g.spark, f"{at}/pid")
+
+
+@_of("ev")
+def adjacency_lists(g):
+    return Graph.from_adjacency(g.adjacency(), "id", "nbrs").edges
+
+
 # --- partitions
 
 
@@ -447,6 +514,15 @@ def oracles() -> dict[str, str]:
         "weights": (_W, "select u, v, w from w"),
         "query_gen": ("", f"select range qid, {_MIX.format(x='range * 2 + 1000003')} % (select n from n) u, {_MIX.format(x='range * 2 + 1000004')} % (select n from n) v from range((select 2 * n from n))"),
     }
+    for name in ("file_edge_list", "file_edge_list_compat", "adjacency_lists"):
+        one[name] = one["edge_load"]
+    one["file_csr"], one["file_vector"], one["file_partition"] = one["weights"], one["degrees"], (_PIDS, "select id, pid from pid")
+    one["file_adjacency"] = (
+        _W,
+        "select value, count(*) count from (select 'WeightedAdjacencyGraph' as value union all select (select n from n)::varchar union all select count(*)::varchar from e "
+        "union all select coalesce(sum(d) over (order by id rows between unbounded preceding and 1 preceding), 0)::bigint::varchar from vx left join dg on dg.u = id "
+        "union all select v::varchar from e union all select w::varchar from w) group by value",
+    )
     one["jaccard_partitioned"], one["lcc_partitioned"], one["lcc_gaps"] = one["jaccard"], one["lcc"], one["lcc"]
     one["csr_offsets"] = ("", "select id, coalesce(sum(d) over (order by id rows between unbounded preceding and 1 preceding), 0)::bigint off from (select range id from range((select n from n) + 1)) left join dg on dg.u = id")
     for name in ("cn_pairs", "cn_pairs_galloping", "cn_pairs_partitioned"):
