@@ -8,8 +8,8 @@ order of their own, and the last is cut where the budget is reached. Prefix sums
 of them, and inside a bucket, so no task holds a source. Sources' totals are a table; only sums over it reach the driver.
 
 Tokens are words [^\\x20\\x09-\\x0D]+. Defined cases: null or empty text has no tokens, and goes along while its place is within the
-budget; a null source is a source of its own; rows that are repeated share a place, and stay or go together; doc_id may be null;
-empty input gives an empty result; all columns of docs are kept by mix(), which adds none.
+budget, and once at least where each source is held whole; a null source is a source of its own; rows of one doc_id share a place, and stay or go together; rows
+without doc_id are placed by their text; empty input gives an empty result; all columns of docs are kept by mix(), which adds none.
 """
 
 from __future__ import annotations
@@ -85,18 +85,18 @@ def _order(block: Column, ident: Column) -> Column:
     return F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(SEED)), block.cast("string"), ident)), 1, 15), 16, 10).cast("long")
 
 
-def _ident(doc_id: Column) -> Column:
-    return F.coalesce(doc_id.cast("string"), F.lit(""))
+def _ident(doc_id: Column, text: Column) -> Column:
+    return F.coalesce(doc_id.cast("string"), F.concat(F.lit("="), F.md5(F.coalesce(text.cast("string"), F.lit("")))))
 
 
 def placed(docs: DataFrame, plan: DataFrame, source: str = "source", text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """(doc_id, source, k, n_tokens, block, h, start, weight, budget) of every row and block within its source's budget; start: in the source's stream."""
     n_rows = plan.agg(F.sum("docs")).first()[0] or 1
     bits = max(1, math.ceil(math.log2(max(2, n_rows)) / 2))
-    rows = docs.select(F.col(doc_id).alias("doc_id"), _key(F.col(source)).alias("k"), tokens_of(F.col(text)).alias("n_tokens"))
+    rows = docs.select(F.col(doc_id).alias("doc_id"), _ident(F.col(doc_id), F.col(text)).alias("ident"), _key(F.col(source)).alias("k"), tokens_of(F.col(text)).alias("n_tokens"))
     rows = rows.join(plan.select("k", "source", "tokens", "weight", "budget"), "k")
     rows = rows.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("budget") - 1) / F.col("tokens")))))
-    rows = rows.withColumn("h", _order(F.col("block"), _ident(F.col("doc_id")))).withColumn("bucket", F.shiftright("h", 60 - bits))
+    rows = rows.withColumn("h", _order(F.col("block"), F.col("ident"))).drop("ident").withColumn("bucket", F.shiftright("h", 60 - bits))
     rows = written(rows, "mix-rows")
     sums = rows.groupBy("k", "block", "bucket").agg(F.sum("n_tokens").alias("n"))
     before = sums.withColumn("base", F.sum("n").over(Window.partitionBy("k").orderBy("block", "bucket")) - F.col("n")).drop("n")
@@ -110,10 +110,11 @@ def mix(docs: DataFrame, entropy_share: float | None = None, max_repeats: float
     plan = weights(docs, source, text, entropy_share, max_repeats, whole)
     cut = placed(docs, plan, source, text, doc_id).groupBy("k", "block").agg(F.max("h").alias("cut"))
     cut = written(cut.groupBy("k").agg(F.max(F.struct("block", "cut")).alias("last")).select("k", F.col("last.block").alias("__q_last"), F.col("last.cut").alias("__q_cut")), "mix-cuts")
-    last = _order(F.col("__q_last"), _ident(F.col(doc_id))) <= F.col("__q_cut")
+    last = _order(F.col("__q_last"), _ident(F.col(doc_id), F.col(text))) <= F.col("__q_cut")
     # sources without any token have no cut, and go along once
+    least = 1 if whole is None else 0
     out = docs.withColumn("__q_k", _key(F.col(source))).join(cut.withColumnRenamed("k", "__q_k"), "__q_k", "left")
-    times = F.when(F.col("__q_last").isNull(), 1).otherwise(F.col("__q_last") + last.cast("long"))
+    times = F.when(F.col("__q_last").isNull(), 1).otherwise(F.greatest(F.lit(least), F.col("__q_last") + last.cast("long")))
     return out.withColumn("__q_copy", F.explode(F.array_repeat(F.lit(0), times.cast("int")))).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+import sys
 from collections.abc import Callable
 from functools import wraps
 
@@ -21,6 +23,9 @@ def _sent(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession
 
 
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    if root not in sys.path:
+        sys.path.append(root)
     import corpus_pipeline
 
     return corpus_pipeline.run(spark, sf_dir)

@@ -112,6 +112,10 @@ def test_mixing(spark):
     docs = frame(spark)
     out = mixing.mix(docs)
     assert out.columns == docs.columns and set(map(str, out.collect())) == set(map(str, docs.collect()))
+    # rows without tokens or doc_id stay in a source that is held once
+    bare = spark.createDataFrame([(i if i % 3 else None, None if i % 2 else "", "en", "s", 0) for i in range(200)] + [(None, f"a b c{i}", "en", "s", 0) for i in range(50)], COLS)
+    assert mixing.mix(bare).count() == 250
+    assert mixing.placed(bare, mixing.weights(bare, "source", "text", None, 2.0, 0.5)).filter("n_tokens > 0").select("h").distinct().count() == 25
     many = spark.createDataFrame([(i, f"w{i} " * 20, "en", f"s{0 if i < 600 else i % 7}", 1) for i in range(900)], COLS)
     plan = {r["source"]: r for r in mixing.weights(many, "source", "text", None, 3.0, None).collect()}
     reps = {s: r["budget"] / r["tokens"] for s, r in plan.items()}
