@@ -21,6 +21,7 @@ from __future__ import annotations
 
 import math
 import re
+from array import array
 from collections import Counter
 from collections.abc import Iterator
 from functools import cache
@@ -264,21 +265,67 @@ def tokens(text: str) -> Counter:
     return out
 
 
-def _lexicon(docs: list[dict[str, int]], y: np.ndarray) -> dict[str, float]:
-    """Log ratios of the rates of words and beginnings in toxic and clean texts, where they are large and seen in several toxic texts."""
-    count, texts, total = (Counter(), Counter()), Counter(), [1, 1]
-    for d, t in zip(docs, y.tolist(), strict=True):
-        mine: Counter = Counter()
-        for w, n in d.items():
-            for f in _features(w):
-                mine[f] += n
-        total[t] += sum(d.values())
-        count[t].update(mine)
-        if t:
-            texts.update(mine.keys())
-    clean, toxic = count
-    lex = {f: math.log((n + 0.5) / total[1]) - math.log((clean[f] + 1.5) / total[0]) for f, n in toxic.items() if texts[f] >= 3}
-    return {f: x for f, x in lex.items() if x > 1.5}
+class Bags:
+    """Texts as bags of numbered words, and words as sets of numbered features, in arrays. Features that no toxic text has aren't kept."""
+
+    def __init__(self, texts: list[str], toxic: list[int], chars: CharModel) -> None:
+        number: dict[str, int] = {}
+        of: dict[str, list[int]] = {}
+        doc, word, n = array("i"), array("i"), array("q")
+        for i, text in enumerate(texts):
+            mine: dict[int, int] = {}
+            for t, k in tokens(text).items():
+                if (ids := of.get(t)) is None:
+                    ids = of[t] = [number.setdefault(w, len(number)) for w in restored(t, chars)]
+                for w in ids:
+                    mine[w] = mine.get(w, 0) + k
+            doc.extend([i] * len(mine))
+            word.extend(mine)
+            n.extend(mine.values())
+        of.clear()
+        self.doc, self.word, self.n, self.texts = np.array(doc, np.int32), np.array(word, np.int32), np.array(n, np.int64), len(texts)
+        self.cut = np.searchsorted(self.doc, np.arange(self.texts + 1))
+        hot = np.zeros(len(number), bool)
+        hot[self.word[np.array(toxic, bool)[self.doc]]] = True
+        feature: dict[str, int] = {"": 0}
+        for w, h in zip(number, hot.tolist(), strict=True):
+            if h:
+                for f in _features(w):
+                    feature.setdefault(f, len(feature))
+        ids, size = array("i"), array("i")
+        for w in number:
+            fs = [feature[f] for f in _features(w) if f in feature] or [0]
+            ids.extend(fs)
+            size.append(len(fs))
+        self.features, self.ids, self.size = list(feature), np.array(ids, np.int32), np.array(size, np.int64)
+        self.at = np.cumsum(self.size) - self.size
+
+    def weights(self, y: np.ndarray, use: np.ndarray) -> np.ndarray:
+        """Log ratios of the rates of features in the toxic and clean texts of use, where they are large and seen in several toxic texts; else 0."""
+        owner = np.repeat(np.arange(len(self.size), dtype=np.int32), self.size)
+        count, total = [], []
+        for t in (0, 1):
+            mine = use[self.doc] & (y[self.doc] == t)
+            of_word = np.bincount(self.word[mine], self.n[mine], len(self.size))
+            count.append(np.bincount(self.ids, of_word[owner], len(self.features)))
+            total.append(1 + self.n[mine].sum())
+        texts = np.zeros(len(self.features), np.int32)
+        for i in np.flatnonzero(use & (y == 1)).tolist():
+            word = self.word[self.cut[i] : self.cut[i + 1]]
+            size = self.size[word]
+            place = np.repeat(self.at[word] - np.cumsum(size) + size, size) + np.arange(int(size.sum()))
+            texts[np.unique(self.ids[place])] += 1
+        x = np.log((count[1] + 0.5) / total[1]) - np.log((count[0] + 1.5) / total[0])
+        return np.where((texts >= 3) & (count[1] > 0) & (x > 1.5), x, 0.0)
+
+    def dense(self, weights: np.ndarray) -> np.ndarray:
+        """What the regression sees of each text."""
+        best = np.maximum.reduceat(weights[self.ids], self.at) if len(self.at) else np.zeros(0)
+        out = np.zeros((self.texts, 7))
+        for i, (a, b) in enumerate(zip(self.cut[:-1].tolist(), self.cut[1:].tolist(), strict=True)):
+            u, n = best[self.word[a:b]], self.n[a:b]
+            out[i] = _dense(list(zip(u[u > 0].tolist(), n[u > 0].tolist(), strict=True)), int(n.sum()))
+        return out
 
 
 def _word(word: str, lex: dict[str, float]) -> float:
@@ -324,28 +371,16 @@ def _regress(x: np.ndarray, y: np.ndarray, ridge: float = 0.5) -> np.ndarray:
 
 def fit(texts: list[str], toxic: list[int], chars: CharModel, odds: float | None = None) -> dict:
     """odds: toxic to clean rows where the texts come from; none: as in the texts. With the character model, the lexicon and the regression on what it finds; for the latter each half of the texts is seen by the other half's lexicon."""
-    raw = [tokens(t) for t in texts]
-    known: dict[str, list[str]] = {}
-    docs = []
-    for s in raw:
-        d: Counter = Counter()
-        for t, n in s.items():
-            if (words := known.get(t)) is None:
-                words = known[t] = restored(t, chars)
-            for w in words:
-                d[w] += n
-        docs.append(d)
-    y = np.array(toxic, np.int64)
-    half = np.arange(len(docs)) % 2
-    x = np.zeros((len(docs), 7))
+    bags, y = Bags(texts, toxic, chars), np.array(toxic, np.int64)
+    half = np.arange(len(texts)) % 2
+    x = np.zeros((len(texts), 7))
     for h in (0, 1):
-        lex = _lexicon([d for d, k in zip(docs, half, strict=True) if k != h], y[half != h])
-        for i in np.flatnonzero(half == h):
-            x[i] = _dense([(u, n) for w, n in docs[i].items() if (u := _word(w, lex)) > 0], sum(docs[i].values()))
+        x[half == h] = bags.dense(bags.weights(y, half != h))[half == h]
     w = _regress(x, y.astype(float))
     if odds is not None:
         w[0] += math.log(odds * (y == 0).sum() / (y == 1).sum())
-    return {"chars": chars, "lexicon": _lexicon(docs, y), "weights": w.tolist()}
+    lexicon = bags.weights(y, half >= 0)
+    return {"chars": chars, "lexicon": {bags.features[i]: float(lexicon[i]) for i in np.flatnonzero(lexicon).tolist()}, "weights": w.tolist()}
 
 
 class Scorer:
@@ -405,8 +440,10 @@ def train(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str =
     got = d.join(F.broadcast(picked), "i").groupBy("i").agg(F.min("t").alias("t"), F.max("y").alias("y")).orderBy("i").toPandas()
     if got["y"].nunique() < 2:
         return {"chars": None}
+    texts, toxic_of = got["t"].tolist(), got["y"].tolist()
+    del got
     n = {r["y"]: r["n"] for r in known.groupBy("y").agg(F.count("*").alias("n")).collect()}
-    return fit(got["t"].tolist(), got["y"].tolist(), CharModel(*char_counts(docs, text)), n[1] / n[0])
+    return fit(texts, toxic_of, CharModel(*char_counts(docs, text)), n[1] / n[0])
 
 
 def score_toxicity(docs: DataFrame, model: dict, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
