@@ -86,20 +86,20 @@ def _letters() -> np.ndarray:
 def _common_ids() -> tuple[np.ndarray, np.ndarray]:
     """Number of each code point among the marks and the letters below 0x180 (-1: another one), and the code points by number."""
     known = np.array([BEGIN, STOP, *(i for i in range(0x180) if chr(i).isalpha() and chr(i).lower() == chr(i))], np.int64)
-    of = np.full(0x110000, -1, np.int64)
+    of = np.full(0x110000, -1, np.int32)
     of[known] = np.arange(len(known))
     return of, known
 
 
 def trigrams(text: str) -> np.ndarray:
     """(a, b, c) code points, three rows, of all runs of letters of a text, lower-cased, as ^^word$."""
-    cp = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+    cp = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), np.int32)
     ink = np.zeros(len(cp) + 2, np.int8)
     ink[1:-1] = _letters()[cp]
     edges = np.flatnonzero(np.diff(ink))
     starts, size = edges[::2], edges[1::2] - edges[::2]
     at = np.cumsum(size + 3) - (size + 3)
-    seq = np.full(int((size + 3).sum()), BEGIN, np.int64)
+    seq = np.full(int((size + 3).sum()), BEGIN, np.int32)
     inside = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)
     seq[np.repeat(at + 2, size) + inside] = cp[np.repeat(starts, size) + inside]
     seq[at + size + 2] = STOP
@@ -109,7 +109,7 @@ def trigrams(text: str) -> np.ndarray:
     return np.stack([seq[i - 2], seq[i - 1], seq[i]])
 
 
-def _pieces(batches: Iterator[pa.RecordBatch], chars: int = 1 << 20) -> Iterator[str]:
+def _pieces(batches: Iterator[pa.RecordBatch], chars: int = 1 << 19) -> Iterator[str]:
     """The texts in runs of about so many characters; a longer text is cut at blanks."""
     part, size = [], 0
     for batch in batches:
@@ -140,7 +140,7 @@ def _count_chars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         i = i[:, ok]
         common += np.bincount((i[0] * d + i[1]) * d + i[2], minlength=d**3)
         if not ok.all():
-            a, b, c = abc[:, ~ok]
+            a, b, c = abc[:, ~ok].astype(np.int64)
             keys, n = np.unique((a << 42) | (b << 21) | c, return_counts=True)
             rare.update(dict(zip(keys.tolist(), n.tolist(), strict=True)))
             if len(rare) > 1 << 20:
