@@ -22,6 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
@@ -32,6 +33,8 @@ from .common import mix, remove, scratch_dir, table, written
 SHARD_ROWS, ROW_TOKENS, KEY, ROUNDS = 4096, 2048, 20240229, 6
 #: Tasks that write shards, at most.
 TASKS = 20_000
+#: Of compression between tasks.
+LEVEL = 6
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: How byte-level BPE of 50k ids cuts text before merging: a published pattern.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -115,12 +118,19 @@ def _slots(n: int, key: int):
     return slots
 
 
+def _squeezed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(slot, ids), ids compressed for the way to their shard."""
+    z = zstandard.ZstdCompressor(level=LEVEL)
+    for b in batches:
+        yield pa.RecordBatch.from_arrays([b.column("slot"), pa.array([z.compress(x.as_buffer()) for x in b.column("ids")], pa.binary())], names=["slot", "ids"])
+
+
 def _write(uri: str, shard_rows: int):
-    """(slot, ids) in the order of slots -> (shard, rows) of the files written."""
+    """(slot, compressed ids) in the order of slots -> (shard, rows) of the files written."""
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, root = fs.FileSystem.from_uri(uri)
-        shard, out, name, rows = None, None, "", 0
+        shard, out, name, rows, z = None, None, "", 0, zstandard.ZstdDecompressor()
 
         def close() -> pa.RecordBatch:
             out.close()
@@ -135,7 +145,7 @@ def _write(uri: str, shard_rows: int):
                     shard, rows = slot // shard_rows, 0
                     name = f"{root}/.shard-{shard:09d}-{uuid.uuid4().hex}"
                     out = store.open_output_stream(name)
-                out.write(ids.as_buffer())
+                out.write(z.decompress(ids.as_buffer()))
                 rows += 1
         if out is not None:
             yield close()
@@ -167,7 +177,7 @@ def materialise(
     number = packed.join(starts, "part").withColumn("seq", F.col("first") + F.col("seq")).withColumn("slot", F.col("seq"))
     shards = -(-n // shard_rows)
     each = max(1, -(-shards // TASKS))
-    slotted = number.filter(F.col("n_tokens").isNull()).select("slot", "ids").mapInArrow(_slots(max(n, 1), key), "slot long, ids binary")
+    slotted = number.filter(F.col("n_tokens").isNull()).select("slot", "ids").mapInArrow(_slots(max(n, 1), key), "slot long, ids binary").mapInArrow(_squeezed, "slot long, ids binary")
     dealt = slotted.repartitionById(max(1, -(-shards // each)), F.floor(F.col("slot") / (shard_rows * each)).cast("int")).sortWithinPartitions("slot")
     files = written(dealt.mapInArrow(_write(uri, shard_rows), "shard long, rows long"), "order-files")
     index = number.filter(F.col("n_tokens").isNotNull()).select("doc_id", "n_tokens", "seq", F.col("place").cast("long").alias("place"), "slot")
