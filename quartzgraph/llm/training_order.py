@@ -33,8 +33,8 @@ from .common import mix, remove, scratch_dir, table, written
 SHARD_ROWS, ROW_TOKENS, KEY, ROUNDS = 4096, 2048, 20240229, 6
 #: Tasks that write shards, at most.
 TASKS = 20_000
-#: Of compression between tasks.
-LEVEL = 6
+#: Of compression between tasks; bytes of its dictionary, and of the sequences that this is learned from, at most, and from how many parts.
+LEVEL, DICTIONARY, SAMPLE, SAMPLE_PARTS = 6, 112_640, 8 << 20, 64
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: How byte-level BPE of 50k ids cuts text before merging: a published pattern.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -118,19 +118,38 @@ def _slots(n: int, key: int):
     return slots
 
 
-def _squeezed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _dictionary(packed: DataFrame, parts: list[int], row_tokens: int) -> bytes | None:
+    """What sequences share, for their compression; learned from the first ones of some parts. Only the size of what goes between tasks depends on it."""
+    parts = parts[:: -(-len(parts) // max(1, min(SAMPLE_PARTS, SAMPLE // (2 * row_tokens)))) or 1]
+    each = max(1, SAMPLE // (2 * row_tokens * max(1, len(parts))))
+    some = packed.filter(F.col("part").isin(parts) & (F.col("seq") < each) & F.col("n_tokens").isNull()).select("ids").collect()
+    try:
+        return zstandard.train_dictionary(DICTIONARY, [bytes(r["ids"]) for r in some]).as_bytes()
+    except zstandard.ZstdError:  # too few sequences, or all alike
+        return None
+
+
+def _with(sent) -> zstandard.ZstdCompressionDict | None:
+    return zstandard.ZstdCompressionDict(sent.value) if sent.value else None
+
+
+def _squeezed(sent):
     """(slot, ids), ids compressed for the way to their shard."""
-    z = zstandard.ZstdCompressor(level=LEVEL)
-    for b in batches:
-        yield pa.RecordBatch.from_arrays([b.column("slot"), pa.array([z.compress(x.as_buffer()) for x in b.column("ids")], pa.binary())], names=["slot", "ids"])
+
+    def squeezed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        z = zstandard.ZstdCompressor(level=LEVEL, dict_data=_with(sent))
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column("slot"), pa.array([z.compress(x.as_buffer()) for x in b.column("ids")], pa.binary())], names=["slot", "ids"])
+
+    return squeezed
 
 
-def _write(uri: str, shard_rows: int):
+def _write(uri: str, shard_rows: int, sent):
     """(slot, compressed ids) in the order of slots -> (shard, rows) of the files written."""
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, root = fs.FileSystem.from_uri(uri)
-        shard, out, name, rows, z = None, None, "", 0, zstandard.ZstdDecompressor()
+        shard, out, name, rows, z = None, None, "", 0, zstandard.ZstdDecompressor(dict_data=_with(sent))
 
         def close() -> pa.RecordBatch:
             out.close()
@@ -177,9 +196,10 @@ def materialise(
     number = packed.join(starts, "part").withColumn("seq", F.col("first") + F.col("seq")).withColumn("slot", F.col("seq"))
     shards = -(-n // shard_rows)
     each = max(1, -(-shards // TASKS))
-    slotted = number.filter(F.col("n_tokens").isNull()).select("slot", "ids").mapInArrow(_slots(max(n, 1), key), "slot long, ids binary").mapInArrow(_squeezed, "slot long, ids binary")
+    shared = spark.sparkContext.broadcast(_dictionary(packed, [p for p, _ in counts], row_tokens))
+    slotted = number.filter(F.col("n_tokens").isNull()).select("slot", "ids").mapInArrow(_slots(max(n, 1), key), "slot long, ids binary").mapInArrow(_squeezed(shared), "slot long, ids binary")
     dealt = slotted.repartitionById(max(1, -(-shards // each)), F.floor(F.col("slot") / (shard_rows * each)).cast("int")).sortWithinPartitions("slot")
-    files = written(dealt.mapInArrow(_write(uri, shard_rows), "shard long, rows long"), "order-files")
+    files = written(dealt.mapInArrow(_write(uri, shard_rows, shared), "shard long, rows long"), "order-files")
     index = number.filter(F.col("n_tokens").isNotNull()).select("doc_id", "n_tokens", "seq", F.col("place").cast("long").alias("place"), "slot")
     index = index.mapInArrow(_slots(max(n, 1), key), "doc_id long, n_tokens long, seq long, place long, slot long")
     index = index.withColumns({"shard": F.floor(F.col("slot") / shard_rows), "row": F.col("slot") % shard_rows})
