@@ -42,7 +42,7 @@ _SPACE = np.zeros(256, bool)
 _SPACE[[32, 9, 10, 11, 12, 13]] = True
 _pow = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 #: Texts are worked on in runs of about so many bytes, so that memory doesn't follow the batch.
-RUN_BYTES = 1 << 21
+RUN_BYTES = 1 << 19
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -135,12 +135,18 @@ def shingle_sets(texts: pa.Array, k: int = 4):
                 yield np.zeros(0, np.uint64)
 
 
+#: Bytes of a batch between JVM and Python, about: both hold several at once in each task, and a count of rows doesn't bound them where texts are long.
+BATCH_BYTES = 4 << 20
+
+
 def ship(spark: SparkSession) -> None:
-    """Sends this package to the executors, once a session; needed where they don't have it installed."""
+    """Sends this package to the executors, once a session; needed where they don't have it installed. Bounds the batches by BATCH_BYTES, where the application's settings name no bound."""
     import os
     import zipfile
 
     sc = spark.sparkContext
+    if not sc.getConf().contains(bound := "spark.sql.execution.arrow.maxBytesPerBatch"):
+        spark.conf.set(bound, str(BATCH_BYTES))
     if getattr(sc, "_quartz_shipped", False):
         return
     root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
