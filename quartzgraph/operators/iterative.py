@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..graph import Graph
 from ..plans.fixpoint import rounds, until
+from ..plans.reduced import cores, in_one_task, is_small, peeled
 from ..plans.scratch import laid_out
 
 
@@ -54,11 +55,25 @@ def max_labels(g: Graph, times: int = 5) -> DataFrame:
 
 
 def core_numbers(g: Graph) -> DataFrame:
-    """(id, core). From the degrees down, each vertex takes the h-index of its neighbours' values until nothing moves, which is its core number.
+    """(id, core). Vertices with an edge have 1 at least, and no core of 2 or more needs a leaf, so leaves are taken off first; a small rest is peeled in one task."""
+    rest, layers = peeled(g.edges.select("u", "v"), g.n)
+    if is_small(rest):
+        core = in_one_task(rest, cores, "id long, core long")
+    elif layers:
+        core = _h_indices(Graph(rest, g.n), rest.select(F.col("u").alias("id")).distinct())
+    else:
+        return _h_indices(g, g.vertices)
+    if layers:
+        core = core.union(g.edges.select("u", F.lit(1).cast("long")).distinct()).groupBy("id").agg(F.max("core").alias("core"))
+    return g.vertices.join(core, "id", "left").select("id", F.coalesce("core", F.lit(0)).alias("core"))
+
+
+def _h_indices(g: Graph, ids: DataFrame) -> DataFrame:
+    """(id, core) of vertices (id), over tables. From the degrees down, each vertex takes the h-index of its neighbours' values until nothing moves, which is its core number.
 
     The h-index is read off a histogram of values cut at the own one, so a hub's neighbours aren't gathered.
     """
-    start = g.vertices.join(g.degrees.withColumnRenamed("u", "id"), "id", "left").select("id", F.coalesce("d", F.lit(0)).alias("core"), F.lit(True).alias("open"))
+    start = ids.join(g.degrees.withColumnRenamed("u", "id"), "id", "left").select("id", F.coalesce("d", F.lit(0)).alias("core"), F.lit(True).alias("open"))
     over = Window.partitionBy("id").orderBy(F.desc("c"))
 
     def step(s: DataFrame, _: int) -> DataFrame:
