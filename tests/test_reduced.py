@@ -85,6 +85,16 @@ def got(df, value):
     return {r["id"]: r[value] for r in df.collect()}
 
 
+@pytest.mark.parametrize("source", [0, 119, 200])
+def test_parents(spark, pairs, way, monkeypatch, source):
+    if way.startswith("one"):
+        no_rounds(monkeypatch, traversal)
+    par, lev = queue(pairs, source)
+    g = graph(spark, pairs)
+    assert got(traversal.all_parents(g, source), "par") == {i: par.get(i, FAR) for i in range(230)}
+    assert got(traversal.bfs_parents(g, source), "lev") == lev
+
+
 def test_cores(spark, pairs, way, monkeypatch):
     if way.startswith("one"):
         no_rounds(monkeypatch, iterative)
