@@ -46,7 +46,7 @@ def _relax(ids: DataFrame, w: DataFrame, source: int, far: int, each=None) -> Da
 
 def bfs_levels(g: Graph, source: int = 0, sentinel: bool = True) -> DataFrame:
     """(id, lev) with the source at 0; unreached vertices have 2147483647, or no row without sentinel."""
-    lev = _relax(g.vertices, g.edges.select("u", "v", F.lit(1).alias("w")), source, UNREACHED_LEVEL).withColumnRenamed("d", "lev")
+    lev = _distances(g, g.edges.select("u", "v", F.lit(1).cast("long").alias("w")), source, UNREACHED_LEVEL).withColumnRenamed("d", "lev")
     return lev if sentinel else lev.filter(F.col("lev") < UNREACHED_LEVEL)
 
 

@@ -95,6 +95,14 @@ def test_parents(spark, pairs, way, monkeypatch, source):
     assert got(traversal.bfs_parents(g, source), "lev") == lev
 
 
+@pytest.mark.parametrize("source", [0, 119, 200])
+def test_levels(spark, pairs, way, monkeypatch, source):
+    if way.startswith("one"):
+        no_rounds(monkeypatch, traversal)
+    _, lev = queue(pairs, source)
+    assert got(traversal.bfs_levels(graph(spark, pairs), source), "lev") == {i: lev.get(i, FAR) for i in range(230)}
+
+
 def test_cores(spark, pairs, way, monkeypatch):
     if way.startswith("one"):
         no_rounds(monkeypatch, iterative)
