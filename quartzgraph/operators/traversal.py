@@ -52,7 +52,7 @@ def bfs_levels(g: Graph, source: int = 0, sentinel: bool = True) -> DataFrame:
 
 def sssp(g: Graph, source: int = 0) -> DataFrame:
     """(id, d): exact distances over w; unreached 1073741823."""
-    return _relax(g.vertices, g.edges.select("u", "v", "w"), source, UNREACHED_DISTANCE)
+    return _distances(g, g.edges.select("u", "v", "w"), source, UNREACHED_DISTANCE)
 
 
 def sssp_workload(g: Graph, pid: DataFrame, source: int = 0) -> DataFrame:

@@ -103,6 +103,16 @@ def test_levels(spark, pairs, way, monkeypatch, source):
     assert got(traversal.bfs_levels(graph(spark, pairs), source), "lev") == {i: lev.get(i, FAR) for i in range(230)}
 
 
+@pytest.mark.parametrize("source", [0, 119, 200])
+def test_distances(spark, pairs, way, monkeypatch, source):
+    if way.startswith("one"):
+        no_rounds(monkeypatch, traversal)
+    g = graph(spark, pairs).with_weights()
+    w = {(r["u"], r["v"]): r["w"] for r in g.edges.collect()}
+    d = shortest(pairs, w, source)
+    assert got(traversal.sssp(g, source), "d") == {i: d.get(i, FAR // 2) for i in range(230)}
+
+
 def test_cores(spark, pairs, way, monkeypatch):
     if way.startswith("one"):
         no_rounds(monkeypatch, iterative)
